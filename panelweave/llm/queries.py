@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, mixing, recordfile
+from . import bpe, fingerprint, language, minhash, mixing, quality, recordfile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,11 +19,22 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), num=85, den=100, k=5)
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, quality.grades_from_labels(_table(spark, sf_dir, "labels")))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", "expected_grade", "p_top", (F.coalesce("p_top", F.lit(1.0)) >= 0.5).alias("kept"))
+
+
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.Vocabulary.from_json(public_tokenizers.path("byte_bpe_50k.json"))
     return recordfile.token_file_digests(_table(spark, sf_dir, "documents"), vocabulary, end_id=2)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.train_and_predict(_table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.load_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), vocabulary)
@@ -34,8 +45,12 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_minhash_near_dedup, op4_token_records, op7_byte_bpe, op8_source_mixing]
+    own = [op1_minhash_near_dedup, op3_quality_classifier, op4_token_records, op5_language_id, op7_byte_bpe, op8_source_mixing, op10_document_fingerprints]
     return {f.__name__: f for f in own}
 
 
