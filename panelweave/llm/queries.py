@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, language, minhash, mixing, quality, recordfile
+from . import bpe, fingerprint, language, license, minhash, mixing, quality, recordfile, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), num=85, den=100, k=5)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, quality.grades_from_labels(_table(spark, sf_dir, "labels")))
@@ -35,6 +39,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.train_and_predict(_table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(_table(spark, sf_dir, "pages"), least_bytes=0)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.load_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), vocabulary)
@@ -50,7 +58,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_minhash_near_dedup, op3_quality_classifier, op4_token_records, op5_language_id, op7_byte_bpe, op8_source_mixing, op10_document_fingerprints]
+    own = [op1_minhash_near_dedup, op2_license_scan, op3_quality_classifier, op4_token_records, op5_language_id, op6_warc, op7_byte_bpe, op8_source_mixing, op10_document_fingerprints]
     return {f.__name__: f for f in own}
 
 
