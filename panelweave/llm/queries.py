@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, language, license, minhash, mixing, quality, recordfile, warc
+from . import bpe, fingerprint, language, license, minhash, mixing, quality, recordfile, search, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,14 +53,20 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    asked = docs.where(F.col("doc_id") % 100 == 0).withColumnRenamed("doc_id", "query_id")
+    return search.search(docs, asked, k=10)
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_minhash_near_dedup, op2_license_scan, op3_quality_classifier, op4_token_records, op5_language_id, op6_warc, op7_byte_bpe, op8_source_mixing, op10_document_fingerprints]
+    own = [op1_minhash_near_dedup, op2_license_scan, op3_quality_classifier, op4_token_records, op5_language_id, op6_warc, op7_byte_bpe, op8_source_mixing, op9_topk_search, op10_document_fingerprints]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_topk_search": search.SEARCH_SQL}
