@@ -4,11 +4,26 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelweave.llm import bpe, minhash, mixing
+from panelweave.llm import bpe, language, minhash, mixing, quality
 from panelweave.llm.common import store
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal classifier, fit on ``labels``, rates good and clean with a
+    probability of 0.5 or more."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.select(docs, quality.train(docs, quality.grades_from_labels(labels)))
+
+
+def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that was learned: neither without a letter nor, for the most likely
+    language, of a calibrated probability under 0.5."""
+    model = language.train(docs.where(~language.held_out()))
+    return language.select(docs, model)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest id, of each group of near-duplicates (0.8, five words)."""
     return minhash.deduplicate(docs)
@@ -24,7 +39,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(docs, bpe.load_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken")))
 
 
-STAGES = [("near_dedup", near_dedup), ("mix_sources", mix_sources), ("encode", encode)]
+STAGES = [("quality", quality_filter), ("language", language_filter), ("near_dedup", near_dedup), ("mix", mix_sources), ("encode", encode)]
 
 #: Classifiers and min-wise bands are not expressible in SQL; tests hold stages against brute force.
 ORACLE_SQL = None

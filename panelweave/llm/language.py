@@ -195,6 +195,21 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def select(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with their columns, whose text has a letter and a language that the model
+    knows with probability ``least`` or more (all rows with a letter, if no language was learned)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def run(batches):
+        for batch in slices(batches):
+            got = [shared.value.predict(x) for x in batch.column(place).to_pylist()]
+            keep = [(lang != UNKNOWN and p >= least) or (lang == UNKNOWN and p == 0.0) for lang, p in got]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(column: str = "doc_id"):
     """Rows that no training sees: crc32 of the id as text, modulo 3, is 1. False for a null id."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 3 == 1, F.lit(False))
