@@ -4,7 +4,7 @@ A file is a sequence of frames. A frame is, little-endian,
 
     uint64 length of the payload
     uint32 masked CRC-32 of those eight bytes
-    payload: int64 document id, then the ids as uint32
+    payload: int64 document id, uint32 bytes per id (2 or 4), then the ids as that wide unsigned integers
     uint32 masked CRC-32 of the payload
     one byte 0x0A
 
@@ -31,16 +31,16 @@ from .common import record_batch, slices, store, text_bytes, work_path
 #: Fixed values of the frame: the checksum's mask and the id that stands for a null document id.
 MASK = 0xA282EAD8
 NULL_ID = -(1 << 63)
-_HEAD, _U32 = struct.Struct("<QI"), struct.Struct("<I")
+_HEAD, _U32, _PAYLOAD = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<qI")
 
 
 def masked(crc: int) -> int:
     return (((crc >> 15) | (crc << 17)) + MASK) & 0xFFFFFFFF
 
 
-def frame(doc_id: int | None, ids: bytes) -> bytes:
-    """One frame without its last byte."""
-    payload = struct.pack("<q", NULL_ID if doc_id is None else doc_id) + ids
+def frame(doc_id: int | None, ids: bytes, width: int = 4) -> bytes:
+    """One frame without its last byte; ``ids`` are ``width`` bytes each."""
+    payload = _PAYLOAD.pack(NULL_ID if doc_id is None else doc_id, width) + ids
     length = struct.pack("<Q", len(payload))
     return b"".join((length, _U32.pack(masked(zlib.crc32(length))), payload, _U32.pack(masked(zlib.crc32(payload)))))
 
@@ -50,7 +50,8 @@ class CorruptRecord(ValueError):
 
 
 def frames(data: bytes | memoryview):
-    """``(offset, doc_id, ids as bytes)`` of every frame of a file; raises CorruptRecord."""
+    """``(offset, bytes of the frame, doc_id, ids)`` of every frame of a file, ids as an array of
+    little-endian uint32; raises CorruptRecord."""
     view, at, end = memoryview(data), 0, len(data)
     while at < end:
         if at + 12 > end:
@@ -59,13 +60,15 @@ def frames(data: bytes | memoryview):
         if masked(zlib.crc32(view[at : at + 8])) != crc:
             raise CorruptRecord(f"length of the frame at {at}")
         stop = at + 12 + length
-        if stop + 5 > end or length < 8 or length % 4 or view[stop + 4] != 10:
+        if stop + 5 > end or length < 12 or view[stop + 4] != 10:
             raise CorruptRecord(f"bounds of the frame at {at}")
         payload = view[at + 12 : stop]
         if masked(zlib.crc32(payload)) != _U32.unpack_from(view, stop)[0]:
             raise CorruptRecord(f"payload of the frame at {at}")
-        doc_id = struct.unpack_from("<q", payload)[0]
-        yield at, None if doc_id == NULL_ID else doc_id, payload[8:]
+        doc_id, width = _PAYLOAD.unpack_from(payload)
+        if width not in (2, 4) or (length - 12) % width:
+            raise CorruptRecord(f"width of the ids at {at}")
+        yield at, stop + 5 - at, None if doc_id == NULL_ID else doc_id, np.frombuffer(payload[12:], f"<u{width}").astype("<u4")
         at = stop + 5
 
 
@@ -73,7 +76,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: Vocabulary, end_id
     """Writes every row of ``docs`` (``doc_id, text``) as a frame below ``path``; returns ``path``.
 
     The number of files follows from the bytes of text (about ``file_bytes`` of text each), so that
-    a file is read by one task. Null and empty texts have ``end_id`` alone (none, if that is None);
+    a file is read by one task. Ids take two bytes where the vocabulary allows it. Null and empty texts have ``end_id`` alone (none, if that is None);
     null ids come first; rows that repeat an id stand in the order of their texts; an empty table
     writes no record. Other columns play no part."""
     spark = docs.sparkSession
@@ -81,13 +84,17 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: Vocabulary, end_id
     total = docs.agg(F.sum(text_bytes()), F.count("*")).first()
     files = max(1, -(-(total[0] or 0) // file_bytes), -(-total[1] // 200_000))
     shared = spark.sparkContext.broadcast(vocabulary)
+    narrow = max(len(vocabulary.tokens) - 1, end_id or 0) < 1 << 16
     tail = b"" if end_id is None else _U32.pack(end_id)
 
+    def framed(doc_id, ids):
+        return frame(doc_id, np.frombuffer(ids, "<u4").astype("<u2").tobytes(), 2) if narrow else frame(doc_id, ids)
+
     def run(batches):
         encoder = _worker(shared.value)
         for batch in slices(batches):
             ids = encoder(batch.column(1).to_pylist())
-            out = [frame(d, x + tail) for d, x in zip(batch.column(0).to_pylist(), ids, strict=True)]
+            out = [framed(d, x + tail) for d, x in zip(batch.column(0).to_pylist(), ids, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
 
     ordered = docs.repartitionByRange(files, "doc_id", "text").sortWithinPartitions("doc_id", "text")
@@ -106,7 +113,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = [(name, at, len(ids) + 25, doc_id, len(ids) // 4, zlib.crc32(ids)) for at, doc_id, ids in frames(memoryview(data.as_buffer()))]
+                rows = [(name, at, size, doc_id, len(ids), zlib.crc32(ids)) for at, size, doc_id, ids in frames(memoryview(data.as_buffer()))]
                 for i in range(0, len(rows), 10_000):
                     yield record_batch(_READ, **dict(zip(_READ.names, map(list, zip(*rows[i : i + 10_000], strict=True)), strict=True)))
 
@@ -120,7 +127,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for data in batch.column(1):
-                rows = [(d, np.frombuffer(x, "<u4").astype(np.int64)) for _, d, x in frames(memoryview(data.as_buffer()))]
+                rows = [(d, x.astype(np.int64)) for _, _, d, x in frames(memoryview(data.as_buffer()))]
                 for i in range(0, len(rows), 1000):
                     yield record_batch(schema, doc_id=[d for d, _ in rows[i : i + 1000]], ids=[x for _, x in rows[i : i + 1000]])
 
@@ -130,8 +137,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def read_at(data: bytes, offset: int) -> tuple[int | None, np.ndarray]:
     """The record whose frame begins at ``offset`` of a file, as the index has it."""
     length, _ = _HEAD.unpack_from(data, offset)
-    _, doc_id, ids = next(frames(memoryview(data)[offset : offset + 17 + length]))
-    return doc_id, np.frombuffer(ids, "<u4")
+    _, _, doc_id, ids = next(frames(memoryview(data)[offset : offset + 17 + length]))
+    return doc_id, ids
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
