@@ -168,7 +168,7 @@ class Encoder:
     """Encodes batches of texts; keeps the ids of pieces as little-endian uint32, in two
     generations of up to ``limit`` pieces each."""
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, limit: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary.model)
