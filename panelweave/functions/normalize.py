@@ -29,7 +29,8 @@ def _set() -> Column:
     return F.abs("w") >= TINY
 
 
-ROW = Window.partitionBy("src")
+def _row():
+    return Window.partitionBy("src")
 
 
 def _global(edges: DataFrame, **aggregates: Column) -> DataFrame:
@@ -41,7 +42,7 @@ class RowL1(Normalizer):
     """strength * w / sum |w| of the row; a row without weight stays 0."""
 
     def normalize(self, edges):
-        total = F.sum(F.abs("w")).over(ROW)
+        total = F.sum(F.abs("w")).over(_row())
         return self._with(edges, F.lit(self.strength) * F.col("w") / F.when(total == 0, 1.0).otherwise(total))
 
 
@@ -50,7 +51,7 @@ class RowSoftmax(Normalizer):
 
     def normalize(self, edges):
         e = F.when(_set(), F.exp("w"))
-        return self._with(edges, F.coalesce(F.lit(self.strength) * e / F.sum(e).over(ROW), F.lit(0.0)))
+        return self._with(edges, F.coalesce(F.lit(self.strength) * e / F.sum(e).over(_row()), F.lit(0.0)))
 
 
 class GlobalSoftmax(Normalizer):
@@ -69,7 +70,7 @@ class RowMinMax(Normalizer):
 
     def normalize(self, edges):
         w = F.when(_set(), F.col("w"))
-        low, high = F.min(w).over(ROW), F.max(w).over(ROW)
+        low, high = F.min(w).over(_row()), F.max(w).over(_row())
         return self._with(edges, _min_max(low, high, high - low <= TINY))
 
 
