@@ -205,8 +205,13 @@ def _search_block(spark, index: DataFrame, rows: pa.Table, stats: pa.Table, n: i
     if isinstance(lists, pa.ChunkedArray):
         lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int64()))
     sizes = np.diff(lists.offsets.to_numpy())
-    flat = np.searchsorted(terms, lists.flatten().to_numpy())
-    owner = np.repeat(np.arange(len(lists)), sizes)
+    asked = lists.flatten().to_numpy()
+    flat = np.searchsorted(terms, asked)
+    # a term that no document has is in no list
+    known = np.zeros(len(asked), bool)
+    inside = flat < len(terms)
+    known[inside] = terms[flat[inside]] == asked[inside]
+    owner, flat = np.repeat(np.arange(len(lists)), sizes)[known], flat[known]
     often = np.argsort(-df, kind="stable")[:frequent]
     often = often[df[often] > 0.02 * n]
     column = np.full(len(terms), -1)
