@@ -116,7 +116,7 @@ def with_next(docs: DataFrame, range_bytes: int = 4 << 20, most_ranges: int = 81
     total = docs.agg(F.sum(text_bytes())).first()[0] or 0
     ranges = min(most_ranges, max(128, total // range_bytes))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or []
-    splits = [-math.inf, *sorted({float(c) for c in cuts}), math.inf]
+    splits = [-math.inf, *(sorted({float(c) for c in cuts}) or [0.0]), math.inf]
     bucket = Bucketizer(splits=splits, inputCol="_id", outputCol="_of", handleInvalid="keep")
     rows = bucket.transform(docs.withColumn("_id", F.col("doc_id").cast("double")))
     rows = rows.select(F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("_of").cast("int")).alias("of"), "doc_id", "text")
