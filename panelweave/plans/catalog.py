@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..core.frames import magnitude, nodes_of, series, transpose
+from ..core.frames import magnitude, series, transpose
 from ..functions import adjacency, panels
 from ..functions.normalize import NORMALIZERS
 from ..operators import batchers, forecasting, fusion, generators, metrics, sparsifiers
@@ -23,7 +23,10 @@ ORACLES: dict[str, str] = {}
 
 
 class Base:
-    """Frames that several queries begin with; nothing is computed until a query needs it."""
+    """Frames that several queries begin with; nothing is computed until a query needs it.
+
+    The N x N matrices, which a query reads many times, are cached (in memory and on disk); the panel,
+    which is as long as the input, is not."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -34,19 +37,19 @@ class Base:
 
     @cached_property
     def nodes(self):
-        return nodes_of(self.panel)
+        return self.sim.where("src = dst").select(F.col("src").alias("node"))
 
     @cached_property
     def sim(self):
-        return generators.Pearson().generate(self.panel)
+        return generators.Pearson().generate(self.panel).cache()
 
     @cached_property
     def cos(self):
-        return generators.cosine(series(self.panel))
+        return generators.cosine(series(self.panel)).cache()
 
     @cached_property
     def graph(self):
-        return make_adjacency(self.sim, 0, "top-k-row", mask_params={"k_per_node": 5})
+        return make_adjacency(self.sim, 0, "top-k-row", mask_params={"k_per_node": 5}).cache()
 
     @cached_property
     def hours(self):
@@ -370,11 +373,11 @@ add("forecast_origins", lambda b: forecasting.origins(b.panel, 12, 6), f"WITH {P
 FACT = "f AS (SELECT o.\"window\", p.node, CAST(p.t - o.origin AS INTEGER) AS step, p.value AS y_true, {pred} AS y_pred FROM org o JOIN panel p ON p.t >= o.origin AND p.t < o.origin + 6 {join})"
 LAST = FACT.format(pred="c.value", join="JOIN panel c ON c.node = p.node AND c.t = o.origin - 1")
 MEAN = FACT.format(pred="c.value", join="JOIN (SELECT o.\"window\", p.node, avg(value) AS value FROM org o JOIN panel p ON p.t >= o.origin - 12 AND p.t < o.origin GROUP BY 1, 2) c ON c.\"window\" = o.\"window\" AND c.node = p.node")
-ROWS = 'SELECT "window", node, step, ' + r("y_true", digits=3) + ", " + r("y_pred", digits=3) + " FROM f"
-add("forecast_eval_single_node", lambda b: forecasting.evaluate(b.panel, "single_node", forecasting.last_value, 12, 6), f"WITH {PANEL}, {SPLIT}, {LAST} {ROWS}", 3)
-add("forecast_eval_whole_matrix", lambda b: forecasting.evaluate(b.panel, "whole_matrix", forecasting.window_mean, 12, 6), f"WITH {PANEL}, {SPLIT}, {MEAN} {ROWS}", 3)
-add("forecast_eval_adj_neighbour", lambda b: forecasting.evaluate(b.panel, "adj_neighbour", forecasting.last_value, 12, 6, edges=b.graph), f"WITH {PANEL}, {SPLIT}, {LAST} {ROWS}", 3)
-add("forecast_eval_node_batches", lambda b: forecasting.evaluate(b.panel, "node_batches", forecasting.window_mean, 12, 6, batches=batchers.FixedSize(4).batch(b.panel, b.nodes).where("node < 20")), f"WITH {PANEL}, {SPLIT}, {MEAN.replace('c.value AS y_pred', 'CASE WHEN p.node < 20 THEN c.value ELSE 0.0 END AS y_pred')} {ROWS}", 3)
+ROWS = 'SELECT "window", node, step, ' + r("y_true", digits=4) + ", " + r("y_pred", digits=4) + " FROM f"
+add("forecast_eval_single_node", lambda b: forecasting.evaluate(b.panel, "single_node", forecasting.last_value, 12, 6), f"WITH {PANEL}, {SPLIT}, {LAST} {ROWS}", 4)
+add("forecast_eval_whole_matrix", lambda b: forecasting.evaluate(b.panel, "whole_matrix", forecasting.window_mean, 12, 6), f"WITH {PANEL}, {SPLIT}, {MEAN} {ROWS}", 4)
+add("forecast_eval_adj_neighbour", lambda b: forecasting.evaluate(b.panel, "adj_neighbour", forecasting.last_value, 12, 6, edges=b.graph), f"WITH {PANEL}, {SPLIT}, {LAST} {ROWS}", 4)
+add("forecast_eval_node_batches", lambda b: forecasting.evaluate(b.panel, "node_batches", forecasting.window_mean, 12, 6, batches=batchers.FixedSize(4).batch(b.panel, b.nodes).where("node < 20")), f"WITH {PANEL}, {SPLIT}, {MEAN.replace('c.value AS y_pred', 'CASE WHEN p.node < 20 THEN c.value ELSE 0.0 END AS y_pred')} {ROWS}", 4)
 ERR = ", ".join([r("avg(abs(y_true - y_pred))", "mae", 1), r("avg((y_true - y_pred) * (y_true - y_pred))", "mse", 0), r("sqrt(avg((y_true - y_pred) * (y_true - y_pred)))", "rmse", 1), r("avg(abs(y_true - y_pred) / greatest(y_true, 1) * 100)", "mape", 1)])
 
 
