@@ -2,8 +2,10 @@
 
 One weight vector over hashed text features is shared by all grades; ordered thresholds
 t_0 < t_1 < ... cut its score: P(grade <= j) = sigmoid(t_j - w.x). That gives an expected grade and
-the probability of each tail. Features are the distinct words, what punctuation hangs on words, and
-shares of capitals, repeated and distinct words.
+the probability of each tail. Features are words (by the root of their share of the text, so that long
+texts don't add up the small weights of ordinary words), what punctuation hangs on words, and shares of
+capitals, repeated and distinct words. Only features whose occurrence differs between grades (by a
+likelihood ratio test) get a weight.
 
 The model is fit on the driver on a bounded sample of rated documents (``sample`` ratings, those with
 the smallest hashes); their features are made in the cluster. Scoring covers every row.
@@ -49,18 +51,18 @@ class Features:
             return np.array([SHORT]), np.ones(1, np.float32)
         if len(known) > self.limit:
             known.clear()
-        words, marks, capitals = set(), Counter(), 0
+        words, marks, capitals = Counter(), Counter(), 0
         counts = Counter(raw)
         for w, c in counts.items():
             if (f := known.get(w)) is None:
                 f = known[w] = self._of(w)
-            words.add(f[0])
+            if f[0] >= 0:
+                words[f[0]] += c
             if f[1] >= 0:
                 marks[f[1]] += c
             if f[2]:
                 capitals += c
-        words.discard(-1)
-        values = dict.fromkeys(words, 1.0) | {m: 4.0 * c / n for m, c in marks.items()}
+        values = {w: 3.0 * math.sqrt(c / n) for w, c in words.items()} | {m: 4.0 * c / n for m, c in marks.items()}
         values |= {CAPITALS: 4.0 * capitals / n, REPEATED: 4.0 * sum(map(eq, raw, raw[1:])) / n, DISTINCT: len(counts) / n, SHORT: 1.0 / n}
         return np.fromiter(values.keys(), np.int64, len(values)), np.fromiter(values.values(), np.float32, len(values))
 
@@ -85,12 +87,24 @@ class OrdinalModel:
         return expected, tails[-1]
 
 
-def train(docs: DataFrame, ratings: DataFrame, sample: int = 8000, passes: int = 6, rate: float = 0.1, l1: float = 2e-3, rare: int = 5, bits: int = BITS, seed: int = 3) -> OrdinalModel:
+def _evidence(rows: list, grades: int, size: int) -> np.ndarray:
+    """Likelihood ratio statistic of each feature's occurrence against the grade."""
+    seen, total = np.zeros((grades, size)), np.zeros((grades, 1))
+    for at, _, y in rows:
+        seen[y, at] += 1
+        total[y] += 1
+    share = seen.sum(0) / total.sum()
+    part = lambda n, expected: np.where(n > 0, n * np.log(np.maximum(n, 1e-12) / np.maximum(expected, 1e-12)), 0.0)
+    return 2 * (part(seen, total * share) + part(total - seen, total * (1 - share))).sum(0)
+
+
+def train(docs: DataFrame, ratings: DataFrame, sample: int = 8000, passes: int = 8, rate: float = 0.3, l1: float = 2e-3, evidence: float = 12.0, bits: int = BITS, seed: int = 3) -> OrdinalModel:
     """Fits on ``docs(doc_id, text)`` with ``ratings(doc_id, grade)``.
 
     Ratings with a null id or grade are ignored; a document rated more than once has its lowest
-    grade; ratings of unknown documents play no part; features that fewer than ``rare`` of the sampled
-    documents have get no weight. Without ratings the model has no grade."""
+    grade; ratings of unknown documents play no part; features whose likelihood ratio
+    statistic (of occurrence against grade, in the sample) is under ``evidence`` get no weight. Without
+    ratings the model has no grade."""
     per = ratings.where("doc_id is not null and grade is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("grade").cast("int").alias("grade"))
     chosen = per.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)  # at most `sample` rows
     schema = pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("at", pa.binary()), ("x", pa.binary())])
@@ -108,10 +122,8 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = 8000, passes: int =
     if len(grades) < 2:
         return OrdinalModel(tuple(map(int, grades)), (), weights.astype(np.float32))
     rows = [(np.frombuffer(a, np.int64), np.frombuffer(x, np.float32), grades.index(g)) for g, a, x in zip(got["grade"], got["at"], got["x"], strict=True)]
-    seen = np.zeros(1 << bits, np.int64)
-    for at, _, _ in rows:
-        seen[at] += 1
-    use = seen >= min(rare, max(1, len(rows) // 20))
+    use = _evidence(rows, len(grades), 1 << bits) >= evidence
+    use[:SHARES] = True
     rows = [(at[m := use[at]], x[m], y) for at, x, y in rows]
     share = np.cumsum(np.bincount([y for _, _, y in rows], minlength=len(grades)))[:-1] / len(rows)
     cut = np.log(share / (1 - share))
