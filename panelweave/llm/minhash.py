@@ -172,11 +172,13 @@ def _sharing_differences(docs: DataFrame, groups: DataFrame, k: int, num: int, d
     diff = store(both.select("p", "m", "sp", "sm").mapInArrow(run, "p long, m long, only_p array<long>, only_m array<long>"), "differences")
     discard(sets)
     items = F.concat(F.transform("only_p", lambda e: F.struct(F.lit(den).alias("w"), e.alias("e"))), F.transform("only_m", lambda e: F.struct(F.lit(den + num).alias("w"), e.alias("e"))))
-    each = diff.select("p", "m", F.size("only_m").alias("d"), F.size("only_p").alias("r"), F.explode(items).alias("x")).select("p", "m", "d", "r", "x.*")
+    # one row per member here; what is known of it goes along with its differences
+    known = diff.join(groups.select("p", "m", "n", "label", "l_p"), ["p", "m"]).withColumns({"d": F.size("only_m"), "r": F.size("only_p")})
+    each = known.select("p", "m", "n", "label", "l_p", "d", "r", F.explode(items).alias("x")).select("p", "m", "n", "label", "l_p", "d", "r", "x.*")
     # elements that one member alone has match nothing, yet count as the rarest of its differences
     each = each.join(each.groupBy("p", "w", "e").agg(F.count("*").alias("c")), ["p", "w", "e"])
     before = F.sum("w").over(Window.partitionBy("p", "m").orderBy("c", "w", "e").rowsBetween(Window.unboundedPreceding, -1))
-    each = each.withColumn("before", F.coalesce(before, F.lit(0))).where("c > 1").join(groups.select("p", "m", "n", "label", "l_p"), ["p", "m"])
+    each = each.withColumn("before", F.coalesce(before, F.lit(0))).where("c > 1")
     # far: by how much m misses being linked with p; room: the weight of differences m need not share
     size = F.col("n") - F.col("d") + F.col("r")
     each = each.withColumns({"far": num * (size + F.col("d")) - den * (size - F.col("r")), "room": den * F.col("d")})
