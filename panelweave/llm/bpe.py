@@ -27,6 +27,8 @@ from .common import record_batch, slices
 #: The pattern that GPT-2's published vocabulary is used with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MAX_VOCABULARY = 64 << 20
+#: Bytes of text that a worker cuts into pieces at a time (a longer text is cut alone).
+PIECE_BYTES = 2 << 20
 OTHER, LETTER, NUMBER, SPACE = range(4)
 
 
@@ -168,7 +170,7 @@ class Encoder:
     """Encodes batches of texts; keeps the ids of pieces as little-endian uint32, in two
     generations of up to ``limit`` pieces each."""
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 250_000):
+    def __init__(self, vocabulary: Vocabulary, limit: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary.model)
@@ -240,7 +242,7 @@ def with_ids(docs: DataFrame, vocabulary: Vocabulary, add: dict | None = None) -
 
     def run(batches):
         encoder, tokens = _worker(shared.value), shared.value.tokens
-        for batch in slices(batches):
+        for batch in slices(batches, PIECE_BYTES):
             ids = [np.frombuffer(x, "<u4") for x in encoder(batch.column(1).to_pylist())]
             yield record_batch(schema, doc_id=batch.column(0).cast(pa.int64()), n_tokens=[len(x) for x in ids], ids=[x.view(np.int32) for x in ids], decoded=[decode(x, tokens) for x in ids])
 
@@ -258,7 +260,7 @@ def round_trip_digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def run(batches):
         encoder, tokens, sha = _worker(shared.value), shared.value.tokens, hashlib.sha256
-        for batch in slices(batches):
+        for batch in slices(batches, PIECE_BYTES):
             ids = encoder(batch.column(1).to_pylist())
             yield record_batch(
                 schema,

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Vocabulary, _worker
+from .bpe import PIECE_BYTES, Vocabulary, _worker
 from .common import record_batch, slices, store, text_bytes, work_path
 
 #: Fixed values of the frame: the checksum's mask and the id that stands for a null document id.
@@ -92,12 +92,12 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: Vocabulary, end_id
 
     def run(batches):
         encoder = _worker(shared.value)
-        for batch in slices(batches):
+        for batch in slices(batches, PIECE_BYTES):
             ids = encoder(batch.column(1).to_pylist())
             out = [framed(d, x + tail) for d, x in zip(batch.column(0).to_pylist(), ids, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
 
-    ordered = docs.repartitionByRange(files, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
     return path
 
