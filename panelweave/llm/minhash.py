@@ -14,12 +14,13 @@
    component can't change the result; what is left are members of different components in one
    bucket. Few of them (up to ``PLAIN``) are compared, if their sizes admit the threshold. Beyond,
    differences from the bucket's smallest document p take over, and lose nothing: let R = p \\ m,
-   D = m \\ p. With s the threshold, a and b are linked only if what R and D of both share, 1 for each
-   in R and 1 + s in D, weighs at least |R_a| + s |D_a| + far(b), where far(b) is how much b misses
-   being linked with p, s |b | p| - |b & p|; and the same with a and b exchanged. So what a and b do
-   not share of a's differences weighs |D_a| - far(b) at most: in one order of all differences, the
-   rarest first, the first that they share comes before that weight is used up, in a and in b. An
-   equi-join on differences with these two conditions finds all candidates.
+   D = m \\ p. With s the threshold, a and b are linked only if (1 + s) times what their R share and
+   their D share is at least |R_a| + s |D_a| + far(b), where far(b) is how much b misses being linked
+   with p, s |b | p| - |b & p|; and the same with a and b exchanged. (An element that both lack is one
+   more in the intersection and one less in the union, as one that both have besides.) So of a's
+   differences, 1 + s each, what b does not share weighs s |R_a| + |D_a| - far(b) at most: in one
+   order of all differences, the rarest first, the first that they share comes before that weight is
+   used up, in a and in b. An equi-join on differences with these two conditions finds all candidates.
 5. Links are confirmed on the full sets; components by large-star and small-star steps.
 """
 
@@ -171,23 +172,22 @@ def _sharing_differences(docs: DataFrame, groups: DataFrame, k: int, num: int, d
     both = groups.select("p", "m").join(sets.select(F.col("doc_id").alias("p"), F.col("s").alias("sp")), "p").join(sets.select(F.col("doc_id").alias("m"), F.col("s").alias("sm")), "m")
     diff = store(both.select("p", "m", "sp", "sm").mapInArrow(run, "p long, m long, only_p array<long>, only_m array<long>"), "differences")
     discard(sets)
-    items = F.concat(F.transform("only_p", lambda e: F.struct(F.lit(den).alias("w"), e.alias("e"))), F.transform("only_m", lambda e: F.struct(F.lit(den + num).alias("w"), e.alias("e"))))
     # one row per member here; what is known of it goes along with its differences
     known = diff.join(groups.select("p", "m", "n", "label", "l_p"), ["p", "m"]).withColumns({"d": F.size("only_m"), "r": F.size("only_p")})
-    each = known.select("p", "m", "n", "label", "l_p", "d", "r", F.explode(items).alias("x")).select("p", "m", "n", "label", "l_p", "d", "r", "x.*")
+    each = known.select("p", "m", "n", "label", "l_p", "d", "r", F.explode(F.concat("only_p", "only_m")).alias("e"))
     # elements that one member alone has match nothing, yet count as the rarest of its differences
-    each = each.join(each.groupBy("p", "w", "e").agg(F.count("*").alias("c")), ["p", "w", "e"])
-    before = F.sum("w").over(Window.partitionBy("p", "m").orderBy("c", "w", "e").rowsBetween(Window.unboundedPreceding, -1))
-    each = each.withColumn("before", F.coalesce(before, F.lit(0))).where("c > 1")
+    each = each.join(each.groupBy("p", "e").agg(F.count("*").alias("c")), ["p", "e"])
+    before = (F.row_number().over(Window.partitionBy("p", "m").orderBy("c", "e")) - 1) * (den + num)
+    each = each.withColumn("before", before).where("c > 1")
     # far: by how much m misses being linked with p; room: the weight of differences m need not share
     size = F.col("n") - F.col("d") + F.col("r")
-    each = each.withColumns({"far": num * (size + F.col("d")) - den * (size - F.col("r")), "room": den * F.col("d")})
-    each = store(each.select("p", "w", "e", "m", "n", "label", "l_p", "before", "far", "room"), "elements")
+    each = each.withColumns({"far": num * (size + F.col("d")) - den * (size - F.col("r")), "room": num * F.col("r") + den * F.col("d")})
+    each = store(each.select("p", "e", "m", "n", "label", "l_p", "before", "far", "room"), "elements")
     discard(diff)
-    a = each.where("before < room").select("p", "w", "e", *[F.col(c).alias(f"{c}_a") for c in ("m", "n", "label", "before", "far", "room")])
-    b = each.where("label <> l_p").select("p", "w", "e", *[F.col(c).alias(f"{c}_b") for c in ("m", "n", "label", "before", "far", "room")])
+    a = each.where("before < room").select("p", "e", *[F.col(c).alias(f"{c}_a") for c in ("m", "n", "label", "before", "far", "room")])
+    b = each.where("label <> l_p").select("p", "e", *[F.col(c).alias(f"{c}_b") for c in ("m", "n", "label", "before", "far", "room")])
     first = "before_a + far_b <= room_a and before_b + far_a <= room_b"
-    return a.join(b, ["p", "w", "e"]).where(f"label_a <> label_b and {first}").select(F.col("m_a").alias("a"), F.col("m_b").alias("b"), "n_a", "n_b").distinct()
+    return a.join(b, ["p", "e"]).where(f"label_a <> label_b and {first}").select(F.col("m_a").alias("a"), F.col("m_b").alias("b"), "n_a", "n_b").distinct()
 
 
 def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, k: int = 5, rows: int = 6, miss: float = 1e-8) -> DataFrame:

@@ -76,6 +76,23 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, plain, num, den):
     assert got == brute_components(rows, num, den)
 
 
+def test_shared_differences_find_all_links(spark):
+    r = random.Random(0)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 60):
+        w = base[: r.choice([80, 92, 93, 120])] + [f"t{r.randrange(3)}x{j}" for j in range(r.choice([0, 0, 3, 12]))]
+        for _ in range(r.choice([0, 1, 3])):
+            w[r.randrange(len(w))] = f"x{r.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    sets = {d: shingles(t) for d, t in rows}
+    linked = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    apart = [d for d in range(1, 60) if not linked(0, d)]
+    groups = spark.createDataFrame([(0, d, len(sets[d]), d, 0) for d in apart], "p long, m long, n long, label long, l_p long")
+    found = {tuple(sorted(x)) for x in minhash._sharing_differences(documents(spark, rows), groups, 5, 4, 5).select("a", "b").collect()}
+    assert {(a, b) for a, b in combinations(apart, 2) if sets[a] != sets[b] and linked(a, b)} <= found
+
+
 def test_near_duplicates_cases(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
     docs = documents(spark, [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (9, "A B C D E F"), (4, None), (5, "")])
