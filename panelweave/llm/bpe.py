@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 from array import array
 from dataclasses import dataclass
 from functools import cached_property
@@ -61,7 +62,7 @@ def _merges(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """A tokenizers JSON without its special tokens, and the class of each code point."""
+    """A tokenizers JSON (of a rank file: without added tokens), and the class of each code point."""
 
     model: str
     classes: bytes
@@ -85,23 +86,33 @@ class Vocabulary:
 
     @classmethod
     def from_json(cls, path: str) -> Vocabulary:
-        """A tokenizers JSON of the byte-level kind; classes as the tokenizers library has them."""
+        """A tokenizers JSON of the byte-level kind; classes as the tokenizers library has them.
+
+        Its added tokens are kept: the library finds them in a text whatever ``add_special_tokens`` is.
+        Those that take in blanks, only match whole words or normalized text are refused."""
         from tokenizers import Regex, pre_tokenizers
 
         def members(pattern: str) -> str:
             split = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
             return "".join(x for x, _ in split.pre_tokenize_str(_every_character()))
 
-        return cls(_json(json.loads(_file(path))["model"]), _classes(members))
+        whole = json.loads(_file(path))
+        added = whole.get("added_tokens") or []
+        if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{path} has an added token that is not matched literally")
+        return cls(_json(whole["model"], added), _classes(members))
 
     @cached_property
     def tokens(self) -> list[bytes]:
         """Bytes of each id, the characters mapped back."""
         back = {c: b for b, c in enumerate(byte_characters())}
-        vocab = json.loads(self.model)["model"]["vocab"]
-        out = [b""] * (max(vocab.values(), default=-1) + 1)
+        whole = json.loads(self.model)
+        vocab, added = whole["model"]["vocab"], {t["id"]: t["content"] for t in whole["added_tokens"]}
+        out = [b""] * (max([*vocab.values(), *added], default=-1) + 1)
         for t, i in vocab.items():
             out[i] = bytes(back[c] for c in t)
+        for i, t in added.items():
+            out[i] = t.encode()
         return out
 
 
@@ -113,8 +124,8 @@ def _file(path: str) -> bytes:
     return data
 
 
-def _json(model: dict) -> str:
-    return json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}, "post_processor": None, "decoder": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}, "model": model})
+def _json(model: dict, added: list[dict] | None = None) -> str:
+    return json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": added or [], "normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}, "post_processor": None, "decoder": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}, "model": model})
 
 
 def _every_character() -> str:
@@ -180,6 +191,9 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.limit = limit
+        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        # the longest of those that begin at one place
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
 
     def pieces(self, texts: list[str]) -> tuple[list[str], list[int]]:
         """Pieces of all texts, and the number of pieces before each text and after the last."""
@@ -193,7 +207,16 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: none) as little-endian uint32."""
-        pieces, at = self.pieces([t or "" for t in texts])
+        texts = [t or "" for t in texts]
+        if not self.split:
+            return self._ordinary(texts)
+        # what lies between added tokens is a text of its own; every second part is an added token
+        parts = [self.split(t) for t in texts]
+        ids = iter(self._ordinary([x for p in parts for x in p[::2]]))
+        return [b"".join(array("I", [self.added[x]]).tobytes() if i % 2 else next(ids) for i, x in enumerate(p)) for p in parts]
+
+    def _ordinary(self, texts: list[str]) -> list[bytes]:
+        pieces, at = self.pieces(texts)
         if len(self.known) > self.limit:
             self.known, self.older = {}, self.known
         known, older, tokenize, characters = self.known, self.older, self.model.tokenize, self.characters
@@ -209,9 +232,13 @@ class Encoder:
         """Code points ``[start, end)`` that each id of a text touches; an id that holds part of a
         character's bytes has that whole character."""
         out: list[tuple[int, int]] = []
-        if text:
-            pieces, _ = self.pieces([text])
-            place = 0
+        place = 0
+        for i, part in enumerate(self.split(text) if text and self.split else [text or ""]):
+            if i % 2:
+                out.append((place, place + len(part)))
+                place += len(part)
+                continue
+            pieces, _ = self.pieces([part])
             for p, e in zip(pieces, self.tokenizer.encode_batch(pieces, add_special_tokens=False), strict=True):
                 out += [(place + i, place + j) for i, j in e.offsets]
                 place += len(p)

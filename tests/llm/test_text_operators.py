@@ -191,6 +191,21 @@ def test_token_files_round_trip(spark, tmp_path):
     assert recordfile.token_file_digests(empty(spark), vocabulary).count() == 0
 
 
+def test_added_tokens_are_what_the_library_gives():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, vocabulary = Tokenizer.from_file(path), bpe.Vocabulary.from_json(path)
+    encoder = bpe.Encoder(vocabulary)
+    r = random.Random(0)
+    texts = [*ODD, "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", "<|endof<|endoftext|>text|>", "<|ENDOFTEXT|>", "it'<|endoftext|>s  <|endoftext|>\n\n<|endoftext"]
+    texts += ["".join(r.choice(["<|endoftext|>", " ", "  ", "'", "s", "é", "word", "12", "<|", "\n"]) for _ in range(20)) for _ in range(300)]
+    for t, got in zip(texts, encoder(texts), strict=True):
+        ids = np.frombuffer(got, "<u4")
+        assert ids.tolist() == library.encode(t or "", add_special_tokens=False).ids and bpe.decode(ids, vocabulary.tokens) == (t or "").encode()
+    assert encoder.offsets("a<|endoftext|>") == [(0, 1), (1, 14)]
+
+
 def test_archives_reject_magic_inside_payloads(spark, tmp_path):
     inner = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     pages = [(1, "http://a/ b\r\n", "x"), (5, None, "x"), (2, "u", None), (3, "u", ""), (4, "v", inner * 4), (6, "w", "WARC/1.0\r\n" * 50 + "é"), (7, "w", "tail WARC/1.0\r"), (None, "n", "x")]
