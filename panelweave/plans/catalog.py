@@ -135,7 +135,7 @@ add("gen_pearson", lambda b: b.sim, f"WITH {SIM} SELECT {W} FROM sim")
 add("gen_cosine", lambda b: b.cos, f"WITH {PANEL}{COS} SELECT {W} FROM cosine")
 add(
     "gen_cosine_embeddings_top",
-    lambda b: make_adjacency(generators.cosine(panels.embedding_vectors(b.spark, b.dir).where("node < 300")), 0, "top-k-row", mask_params={"k_per_node": 2}).where("src < 300"),
+    lambda b: make_adjacency(generators.cosine_top(panels.embedding_vectors(b.spark, b.dir), 2).cache(), 0, "top-k-row", mask_params={"k_per_node": 2}),
     f"""WITH v AS (SELECT CAST(vec_id AS INTEGER) AS node, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE vec_id < 300),
     q AS (SELECT node, sqrt(sum(x * x)) + 1e-8 AS q FROM v GROUP BY 1), u AS (SELECT node, i, x / q AS x FROM v JOIN q USING (node)),
     c AS (SELECT a.node AS src, b.node AS dst, sum(a.x * b.x) AS w FROM u a JOIN u b USING (i) WHERE a.node <> b.node GROUP BY 1, 2),

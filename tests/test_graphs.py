@@ -14,6 +14,7 @@ from panelweave.functions import adjacency, panels
 from panelweave.functions.normalize import NORMALIZERS
 from panelweave.operators import batchers, forecasting, fusion, generators, metrics, sparsifiers
 from panelweave.operators.planarity import is_planar
+from panelweave.plans import catalog
 from panelweave.plans.construct import MatrixConstruction, make_adjacency, make_hybrid_adjacency
 
 
@@ -265,3 +266,22 @@ def test_series_keep_order(spark):
     got = {r["node"]: r["xs"] for r in series(panel_of(spark, X)).collect()}
     assert np.allclose(got[2], X[:, 2])
     assert sorted(r["node"] for r in nodes_of(panel_of(spark, X)).collect()) == [0, 1, 2, 3]
+
+
+def test_top_cosines_are_over_all_vectors(spark, tmp_path):
+    r = np.random.default_rng(2)
+    xs = r.normal(size=(330, 4)).astype(np.float32)
+    xs[300:310] = xs[5]  # ties, and best partners beyond the first 300
+    spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(xs)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {}
+    for x in catalog.QUERIES["gen_cosine_embeddings_top"](spark, str(tmp_path)).collect():
+        got.setdefault(x["src"], {})[x["dst"]] = x["w"]
+    x = xs.astype(float)
+    u = x / (np.sqrt((x * x).sum(1)) + 1e-8)[:, None]
+    w = np.abs(u @ u.T)
+    for i in range(330):
+        best = sorted((j for j in range(330) if j != i), key=lambda j: (-round(w[i, j], 12), -j))[:2]
+        assert got[i] == pytest.approx({j: w[i, j] for j in best}, abs=1e-6)
+    small = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:40])], "node int, xs array<double>")
+    top = {(c["src"], c["dst"]): c["w"] for c in generators.cosine_top(small, 39, block=7).collect()}
+    assert top == pytest.approx({(c["src"], c["dst"]): c["w"] for c in generators.cosine(small).where("src <> dst").collect()})
