@@ -151,7 +151,7 @@ mi AS (SELECT src, dst, (SELECT h FROM h WHERE n = 2) + (SELECT h FROM h WHERE n
 every AS (SELECT src, dst, w FROM mi UNION ALL SELECT dst, src, w FROM mi UNION ALL SELECT node, node, greatest(0, (SELECT max(w) FROM mi)) FROM nodes)
 SELECT {W} FROM every"""
 add("gen_mi_ksg", lambda b: generators.MutualInformation(3).generate(b.panel), MI)
-add("gen_mi_standard", lambda b: generators.MutualInformation(3, backend="standard").generate(b.hours.where("t < 60")))
+add("gen_mi_standard", lambda b: generators.MutualInformation(3, backend="standard").generate(b.hours))
 add("gen_partial_corr", lambda b: generators.PartialCorrelation().generate(b.hours))
 add("gen_dtw", lambda b: generators.DTW(window=8).generate(b.panel))
 add("gen_dtw_pruned", lambda b: generators.DTW(window=8, pruning_threshold=1e6).generate(b.panel))

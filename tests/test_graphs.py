@@ -285,3 +285,25 @@ def test_top_cosines_are_over_all_vectors(spark, tmp_path):
     small = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:40])], "node int, xs array<double>")
     top = {(c["src"], c["dst"]): c["w"] for c in generators.cosine_top(small, 39, block=7).collect()}
     assert top == pytest.approx({(c["src"], c["dst"]): c["w"] for c in generators.cosine(small).where("src <> dst").collect()})
+
+
+def test_standard_mutual_information_is_over_all_hours(spark, tmp_path):
+    r = np.random.default_rng(4)
+    hours, x = 90, r.normal(size=(3, 90))
+    x[1, 60:] = x[0, 60:] + 0.1 * x[1, 60:]  # what is shared comes late
+    rows = [(3600 * t, f"kind{i}", float(x[i, t])) for i in range(3) for t in range(hours)]
+    events = spark.createDataFrame(rows, "s long, event_type string, value double").select(F.timestamp_seconds("s").alias("ts"), "event_type", "value")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = {(c["src"], c["dst"]): c["w"] for c in catalog.QUERIES["gen_mi_standard"](spark, str(tmp_path)).collect()}
+    harmonic = np.concatenate(([0], np.cumsum(1 / np.arange(1, hours + 1))))
+    z = x / x.std(1)[:, None]
+
+    def brute(a, b):
+        dx, dy = np.abs(a[:, None] - a), np.abs(b[:, None] - b)
+        eps = np.sort(np.maximum(dx, dy), axis=1)[:, 3][:, None]
+        nx, ny = ((d < eps).sum(1) - 1 for d in (dx, dy))
+        return max(0, harmonic[2] + harmonic[hours - 1] - (harmonic[np.maximum(nx, 0)] + harmonic[np.maximum(ny, 0)]).mean())
+
+    want = {(i, j): brute(z[i], z[j]) for i in range(3) for j in range(3)}
+    most = max(want.values())
+    assert got == pytest.approx({(i, j): most if i == j else w for (i, j), w in want.items()}, abs=1e-5)
