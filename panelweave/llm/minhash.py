@@ -6,22 +6,28 @@
    reaches it; from round t on, round t+j throws all elements into bin j, so that after 2t rounds
    every coordinate is filled. The coordinates then agree with probability J with concentration
    as strong as for independent ones.
-2. Documents with one and the same set are one class; only its smallest id goes on.
+2. Documents with one and the same set are one class, a node of the graph of links.
 3. Bands of ``rows`` coordinates are bucket keys. The number of bands follows from the threshold:
    a pair at the threshold shares no band with a probability of at most ``miss``.
 4. No bucket is expanded into all its pairs. Each member is first compared with the bucket's
-   smallest and largest id, which settles groups of copies in linear work. A pair within one
+   smallest and largest node, which settles groups of copies in linear work. A pair within one
    component can't change the result; what is left are members of different components in one
-   bucket. Few of them (up to ``PLAIN``) are compared, if their sizes admit the threshold. Beyond,
-   differences from the bucket's smallest document p take over, and lose nothing: let R = p \\ m,
-   D = m \\ p. With s the threshold, a and b are linked only if (1 + s) times what their R share and
-   their D share is at least |R_a| + s |D_a| + far(b), where far(b) is how much b misses being linked
-   with p, s |b | p| - |b & p|; and the same with a and b exchanged. (An element that both lack is one
-   more in the intersection and one less in the union, as one that both have besides.) So of a's
-   differences, 1 + s each, what b does not share weighs s |R_a| + |D_a| - far(b) at most: in one
-   order of all differences, the rarest first, the first that they share comes before that weight is
-   used up, in a and in b. An equi-join on differences with these two conditions finds all candidates.
-5. Links are confirmed on the full sets; components by large-star and small-star steps.
+   bucket. Such buckets with the same smallest component make a group. In a group of few members (up
+   to ``PLAIN``) those that share a bucket are compared, if their sizes admit the threshold.
+5. In a larger group members are held against its consensus c, the elements that more than half of the
+   members have (a set of at most twice their mean size). Let i = |m & c|, D = m \\ c, R = c \\ m. A
+   linked pair has q = s (|a| + |b|) / (1 + s) common elements or more, s being the threshold. Of these
+   at most min(i_a, i_b) lie in c, so D_a and D_b share at least q - min(i_a, i_b): if that is 1 or
+   more, an equi-join on the elements of D finds the pair. Elements that are in c, which nearly all
+   share, take no part in it. Otherwise both are nearly parts of c (cut copies, say), and as
+   |a & b| = |c| - |R_a| - |R_b| + |R_a & R_b| + |D_a & D_b|, R and D together share at least
+   q - |c| + |R_a| + |R_b|. Where that is 0 or less for the member closest to c, the pair is linked
+   for certain, and any pair for which it is 0 or less is then linked through that member; for all others
+   an equi-join on elements of R and D finds the pair. In both joins elements are put in one order, the
+   rarest first, and sharing x elements means that the first shared one is not among the last x - 1 of
+   either member; what only one member has goes first and is not joined. The larger member of a pair is
+   joined with classes of the smaller one's size, which tightens x. Nothing is lost by any of this.
+6. Links are confirmed on the full sets; components by large-star and small-star steps.
 """
 
 from __future__ import annotations
@@ -37,8 +43,10 @@ from .common import WordHasher, discard, lower_words, mix64, record_batch, shing
 from .components import connected_components
 
 _LONG = pa.int64()
-#: Members of open buckets around one smallest document that are still compared pair by pair.
+#: Members of a group of open buckets that are still compared bucket by bucket.
 PLAIN = 24
+#: Classes of set sizes are powers of this.
+STEP = 1.05
 
 
 def n_bands(num: int, den: int, rows: int, miss: float) -> int:
@@ -86,50 +94,67 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return acc
 
 
-_SIG = pa.schema([("doc_id", _LONG), ("n", _LONG), ("fp1", _LONG), ("fp2", _LONG), ("bands", pa.list_(_LONG))])
+_SIG = pa.schema([("doc_id", _LONG), ("text_key", _LONG), ("n", _LONG), ("fp1", _LONG), ("fp2", _LONG), ("bands", pa.list_(_LONG))])
+
+
+def _fingerprint(s: np.ndarray) -> tuple[int, int]:
+    with np.errstate(over="ignore"):
+        a = mix64(s + np.uint64(len(s)))
+        pair = np.array([a.sum(dtype=np.uint64), mix64(a ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)], np.uint64).view(np.int64)
+    return int(pair[0]), int(pair[1])
 
 
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, n, fp1, fp2, bands`` of every row; fp and bands are null for an empty set."""
+    """``doc_id, text_key, n, fp1, fp2, bands`` of every row; text_key is a hash of the text, fp and
+    bands are null for an empty set."""
 
     def run(batches):
         hasher, sketch = WordHasher(), FastSimilaritySketch(bands * rows)
         for batch in slices(batches):
             n, fp1, fp2, keys = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 s = shingle_set(hasher(lower_words(text)), k)
                 n.append(len(s))
                 if not len(s):
                     fp1.append(None), fp2.append(None), keys.append(None)
                     continue
                 with np.errstate(over="ignore"):
-                    a = mix64(s + np.uint64(len(s)))
-                    pair = np.array([a.sum(dtype=np.uint64), mix64(a ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)], np.uint64).view(np.int64)
                     keys.append(band_keys(sketch(s), bands, rows).view(np.int64))
-                fp1.append(int(pair[0])), fp2.append(int(pair[1]))
-            yield record_batch(_SIG, doc_id=batch.column(0).cast(_LONG), n=n, fp1=fp1, fp2=fp2, bands=keys)
+                one, two = _fingerprint(s)
+                fp1.append(one), fp2.append(two)
+            yield record_batch(_SIG, doc_id=batch.column(0).cast(_LONG), text_key=batch.column(1), n=n, fp1=fp1, fp2=fp2, bands=keys)
+
+    return docs.select("doc_id", _text_key(), "text").mapInArrow(run, "doc_id long, text_key long, n long, fp1 long, fp2 long, bands array<long>")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp1 long, fp2 long, bands array<long>")
+def _text_key():
+    return F.xxhash64("text").alias("text_key")
 
 
-_SET = pa.schema([("doc_id", _LONG), ("s", pa.binary())])
+_SET = pa.schema([("node", _LONG), ("s", pa.binary())])
 
 
-def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """``doc_id, s`` (sorted hashes, 8 bytes each) of the documents in ``ids``."""
+def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """``node, s`` (sorted hashes, 8 bytes each), a row for each of ``nodes(node, rep, fp1)``."""
 
     def run(batches):
         hasher = WordHasher()
         for batch in slices(batches):
-            yield record_batch(_SET, doc_id=batch.column(0).cast(_LONG), s=[shingle_set(hasher(lower_words(x)), k).tobytes() for x in batch.column(1).to_pylist()])
+            node, sets = [], []
+            for x, fp1, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                s = shingle_set(hasher(lower_words(text)), k)
+                if len(s) and _fingerprint(s)[0] == fp1:  # another text may bear the same id
+                    node.append(x), sets.append(s.tobytes())
+            yield record_batch(_SET, node=node, s=sets)
 
-    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, s binary")
+    texts = docs.join(nodes.withColumnRenamed("rep", "doc_id"), "doc_id").select("node", "fp1", "text")
+    return texts.mapInArrow(run, "node long, s binary").groupBy("node").agg(F.first("s").alias("s"))
 
 
 _PAIR = pa.schema([("a", _LONG), ("b", _LONG)])
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs ``(a, b)`` with den * |A & B| >= num * |A | B|, on full sets."""
 
     def run(batches):
@@ -143,117 +168,184 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) ->
                 keep[i] = den * inter >= num * (len(x) + len(y) - inter)
             yield record_batch(_PAIR, a=batch.column(0).filter(pa.array(keep)), b=batch.column(1).filter(pa.array(keep)))
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = store(_sets(docs, ids, k), "sets")
-    joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = store(_sets(docs, nodes.join(asked, "node", "left_semi"), k), "sets")
+    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     out = store(joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "links")
     discard(sets)
     return out
 
 
-_DIFF = pa.schema([("p", _LONG), ("m", _LONG), ("only_p", pa.list_(_LONG)), ("only_m", pa.list_(_LONG))])
+_HELD = pa.schema([("g", _LONG), ("e", _LONG)])
+_DIFF = pa.schema([("g", _LONG), ("m", _LONG), ("label", _LONG), ("size", _LONG), ("n", _LONG), ("i", _LONG), ("nc", _LONG), ("only_m", pa.list_(_LONG)), ("only_c", pa.list_(_LONG))])
 
 
-def _sharing_differences(docs: DataFrame, groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """``a, b, n_a, n_b``: members of a group ``(p, m, n, label, l_p)`` that may be linked though
-    their labels differ; see 4. in the module's text."""
+def _differences(sets: DataFrame, members: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Of members ``(g, m, label, size)``: how often each element occurs in a group, ``(g, e, c)`` where
+    that is more than once, and the differences of each member from the group's consensus."""
 
-    def run(batches):
+    def flatten(batches):
         for batch in slices(batches):
-            p, m = [], []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                p.append(np.setdiff1d(x, y, assume_unique=True).view(np.int64))
-                m.append(np.setdiff1d(y, x, assume_unique=True).view(np.int64))
-            yield record_batch(_DIFF, p=batch.column(0), m=batch.column(1), only_p=p, only_m=m)
-
-    ids = groups.select(F.explode(F.array("p", "m")).alias("doc_id")).distinct()
-    sets = store(_sets(docs, ids, k), "sets")
-    both = groups.select("p", "m").join(sets.select(F.col("doc_id").alias("p"), F.col("s").alias("sp")), "p").join(sets.select(F.col("doc_id").alias("m"), F.col("s").alias("sm")), "m")
-    diff = store(both.select("p", "m", "sp", "sm").mapInArrow(run, "p long, m long, only_p array<long>, only_m array<long>"), "differences")
+            sets_ = [np.frombuffer(s, np.int64) for s in batch.column(1).to_pylist()]
+            yield record_batch(_HELD, g=np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets_]), e=np.concatenate(sets_))
+
+    def differ(batches):
+        for batch in slices(batches):
+            n, i, nc, only_m, only_c = [], [], [], [], []
+            for s, c in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                s, c = np.frombuffer(s, np.int64), np.array(c or [], np.int64)
+                both = np.intersect1d(s, c, assume_unique=True)
+                n.append(len(s)), i.append(len(both)), nc.append(len(c))
+                only_m.append(np.setdiff1d(s, both, assume_unique=True))
+                # the other side is needed only where most of m is in c
+                only_c.append(np.setdiff1d(c, both, assume_unique=True) if den * len(both) >= num * len(s) else None)
+            yield record_batch(_DIFF, g=batch.column(0), m=batch.column(1), label=batch.column(2), size=batch.column(3), n=n, i=i, nc=nc, only_m=only_m, only_c=only_c)
+
+    held = members.join(sets.withColumnRenamed("node", "m"), "m")
+    counts = held.select("g", "s").mapInArrow(flatten, "g long, e long").groupBy("g", "e").agg(F.count("*").alias("c")).where("c > 1")
+    counts = store(counts, "counts")
+    # more than half of the members have each: at most twice their mean size
+    most = counts.join(members.select("g", "size").distinct(), "g").where("2 * c > size").groupBy("g").agg(F.collect_list("e").alias("cs"))
+    both = held.join(most, "g", "left").select("g", "m", "label", "size", "s", "cs")
+    schema = "g long, m long, label long, size long, n long, i long, nc long, only_m array<long>, only_c array<long>"
+    return counts, store(both.mapInArrow(differ, schema), "differences")
+
+
+def _around_consensus(docs: DataFrame, nodes: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``a, b``: members ``(g, m, label, size)`` of a group that may be linked though their labels
+    differ; see 5. in the module's text."""
+    both, log = num + den, math.log(STEP)
+    sets = store(_sets(docs, nodes.join(members.select(F.col("m").alias("node")).distinct(), "node", "left_semi"), k), "sets")
+    counts, diff = _differences(sets, members, num, den)
     discard(sets)
-    # one row per member here; what is known of it goes along with its differences
-    known = diff.join(groups.select("p", "m", "n", "label", "l_p"), ["p", "m"]).withColumns({"d": F.size("only_m"), "r": F.size("only_p")})
-    each = known.select("p", "m", "n", "label", "l_p", "d", "r", F.explode(F.concat("only_p", "only_m")).alias("e"))
-    # elements that one member alone has match nothing, yet count as the rarest of its differences
-    each = each.join(each.groupBy("p", "e").agg(F.count("*").alias("c")), ["p", "e"])
-    before = (F.row_number().over(Window.partitionBy("p", "m").orderBy("c", "e")) - 1) * (den + num)
-    each = each.withColumn("before", before).where("c > 1")
-    # far: by how much m misses being linked with p; room: the weight of differences m need not share
-    size = F.col("n") - F.col("d") + F.col("r")
-    each = each.withColumns({"far": num * (size + F.col("d")) - den * (size - F.col("r")), "room": num * F.col("r") + den * F.col("d")})
-    each = store(each.select("p", "e", "m", "n", "label", "l_p", "before", "far", "room"), "elements")
-    discard(diff)
-    a = each.where("before < room").select("p", "e", *[F.col(c).alias(f"{c}_a") for c in ("m", "n", "label", "before", "far", "room")])
-    b = each.where("label <> l_p").select("p", "e", *[F.col(c).alias(f"{c}_b") for c in ("m", "n", "label", "before", "far", "room")])
-    first = "before_a + far_b <= room_a and before_b + far_a <= room_b"
-    return a.join(b, ["p", "e"]).where(f"label_a <> label_b and {first}").select(F.col("m_a").alias("a"), F.col("m_b").alias("b"), "n_a", "n_b").distinct()
+    # 2 (num + den) times the part of one member in what R and D of a pair must share
+    diff = diff.withColumns({"r": F.expr("nc - i"), "d": F.expr("n - i")}).withColumn("h", F.expr(f"2 * {num} * n + {both} * (2 * r - nc)"))
+    best = diff.groupBy("g").agg(F.min(F.struct("h", "m", "label")).alias("best")).select("g", "best.*").toDF("g", "h0", "m0", "label0")
+    certain = diff.join(best, "g").where("h + h0 <= 0 and label <> label0").select(F.col("m").alias("a"), F.col("m0").alias("b"))
+    # labels that hold a member linked with the closest one for certain count as its label
+    joined = diff.groupBy("g", "label").agg(F.min("h").alias("h1")).join(best, "g").select("g", "label", F.expr("if(h1 + h0 <= 0, label0, label)").alias("l"), "label0")
+    known = diff.join(joined, ["g", "label"]).withColumn("main", F.expr("l = label0"))
+    common = ["g", "m", "n", "i", "d", "r", "nc", "l", "main"]
+    outer = known.select(F.lit(0).alias("kind"), *common, F.col("d").alias("w"), "size", F.lit(False).alias("lacks"), F.explode("only_m").alias("e"))
+    inner = known.where("only_c is not null").select(F.lit(1).alias("kind"), *common, F.expr("d + r").alias("w"), "size", "only_m", "only_c")
+    inner_d = inner.select(*outer.columns[:-2], F.lit(False).alias("lacks"), F.explode("only_m").alias("e"))
+    inner_r = inner.select(*outer.columns[:-2], F.lit(True).alias("lacks"), F.explode("only_c").alias("e"))
+    each = outer.union(inner_d).union(inner_r).join(counts, ["g", "e"], "left")
+    each = each.withColumn("c", F.expr("if(lacks, size - coalesce(c, 0), coalesce(c, 1))"))
+    at = F.row_number().over(Window.partitionBy("kind", "g", "m").orderBy("c", "e")) - 1
+    each = store(each.withColumn("at", at).where("c > 1").select("kind", "e", "at", "w", *common), "elements")
+    discard(counts)
+    up = lambda x: f"((({x}) + {both} - 1) div {both})"  # noqa: E731  rounded up after division by num + den
+    of = lambda x: f"cast(floor(ln({x}) / {log!r} + 1e-9) as int)"
+    low, most = f"(({num} * n + {den} - 1) div {den})", f"({both} * i div {num} - n)"  # sizes of partners: by the threshold, by i
+    # the smaller of a pair: a partner is at least as large
+    small = each.where(f"kind = 0 or 2 * {num} * n <= {both} * i")
+    small = small.withColumn("need", F.expr(f"if(kind = 0, {up(f'2 * {num} * n')} - i, {up(f'{num} * n + {both} * r - {den} * least({den} * n div {num}, {most})')})"))
+    small = small.withColumns({"class": F.expr(of("n")), "part": F.explode(F.expr("if(main, array(0), array(0, 1))"))}).where("at <= w - greatest(need, 1)")
+    # the larger: one row for each class of sizes that its partners may have
+    large = each.withColumn("hi", F.expr(f"if(kind = 0, n, least(n, {most}))")).where(f"hi >= {low}")
+    large = large.withColumns({"class": F.explode(F.expr(f"sequence({of(low)}, {of('hi')})")), "part": F.expr("if(main, 1, 0)")})
+    least = f"greatest({low}, cast(floor(pow({STEP}, class) - 1e-6) as long))"
+    large = large.withColumn("need", F.expr(f"if(kind = 0, {up(f'{num} * (n + {least})')} - i, {up(f'{num} * n + {both} * r - {den} * hi')})")).where("at <= w - greatest(need, 1)")
+    keys, rest = ["kind", "g", "e", "class", "part"], ["m", "at", "w", "n", "i", "r", "nc", "l"]
+    a, b = large.select(*keys, *[F.col(c).alias(f"{c}_a") for c in rest]), small.select(*keys, *[F.col(c).alias(f"{c}_b") for c in rest])
+    inside = f"({up(f'{num} * (n_a + n_b)')} - least(i_a, i_b))"
+    share = f"if(kind = 0, {inside}, greatest(1, {up(f'{num} * (n_a + n_b)')} - nc_a + r_a + r_b))"
+    may = f"l_a <> l_b and (n_b < n_a or n_b = n_a and m_b < m_a) and {den} * n_b >= {num} * n_a and (kind = 0) = ({inside} >= 1)"
+    found = a.join(b, keys).where(f"{may} and at_a + {share} <= w_a and at_b + {share} <= w_b").select(F.col("m_a").alias("a"), F.col("m_b").alias("b"))
+    out = store(found.union(certain).distinct(), "candidates")
+    discard(each, diff)
+    return out
 
 
-def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, k: int = 5, rows: int = 6, miss: float = 1e-8) -> DataFrame:
-    """Components of documents linked at shingle similarity num/den or more.
+def _classes(docs: DataFrame, num: int, den: int, k: int, rows: int, miss: float) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, text_key, n, fp1, fp2`` of each row of ``docs(doc_id, text)``, and of each class of equal
+    sets ``fp1, fp2, n, rep, node, component``.
 
-    Returns one row per input row: ``doc_id, n_shingles, component_id, kept``. Further columns of
-    ``docs`` (whatever their names) play no part. Null or empty texts have no shingle and are
-    components of their own; fewer than ``k`` words make one shingle. Rows that repeat a ``doc_id``
-    with one text share its component. A null ``doc_id`` is linked with nothing and has a null
-    component, and ``kept`` null; an empty table gives an empty table.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rep is a class's smallest id; so is node, unless other texts bear the same id. component is the
+    smallest node of those reachable."""
     bands = n_bands(num, den, rows, miss)
     sig = store(signatures(docs, k, bands, rows), "signatures")
+    first = F.row_number().over(Window.partitionBy("rep").orderBy("fp1", "fp2", "n")) == 1
     classes = sig.where("n > 0 and doc_id is not null").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"))
-    classes = store(classes, "classes")
-    reps = sig.join(classes.select(F.col("rep").alias("doc_id"), "fp1", "fp2"), ["doc_id", "fp1", "fp2"], "left_semi").dropDuplicates(["doc_id"])
-    rows_ = store(reps.select("doc_id", "n", F.explode("bands").alias("key")), "bands")
+    classes = store(classes.withColumn("node", F.when(first, F.col("rep")).otherwise(F.xxhash64("rep", "fp1", "fp2"))), "classes")
+    nodes = classes.select("node", "rep", "fp1")
+    banded = sig.join(classes.select(F.col("rep").alias("doc_id"), "fp1", "fp2", "node"), ["doc_id", "fp1", "fp2"]).dropDuplicates(["node"])
+    rows_ = store(banded.select("node", "n", F.explode("bands").alias("key")), "bands")
     # buckets with a second document; a count per key and task is all that is shuffled
-    buckets = store(rows_.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi"), "buckets")
+    sizes = classes.select("node", "n")
+    buckets = rows_.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    for end in ("lo", "hi"):
+        buckets = buckets.join(sizes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}")), end)
     members = store(rows_.join(buckets, "key"), "members")
     discard(rows_)
     fits = f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)"
-    sizes = reps.select("doc_id", "n")
-    star = members.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.explode(F.array("lo", "hi")).alias("a")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = store(_sized(star, sizes).where(fits).select("a", "b"), "pairs")
-    links = _verified(docs, pairs, k, num, den)
-    discard(pairs)
+    ends = F.array(F.struct(F.col("lo").alias("a"), F.col("n_lo").alias("n_a")), F.struct(F.col("hi").alias("a"), F.col("n_hi").alias("n_a")))
+    star = members.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.explode(ends).alias("x")).select("x.*", "b", "n_b").where(f"a <> b and {fits}")
+    pairs = store(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    links = _verified(docs, nodes, pairs, k, num, den)
     found = store(connected_components(links), "labels")
     # what is left: members of different components in one bucket
-    labelled = members.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("key", "doc_id", "n", "lo", "hi", F.coalesce("component", "doc_id").alias("label"))
+    labelled = members.select("key", "node", "n", "lo", "hi").join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
     labelled = store(labelled, "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("key")
-    open_ = store(labelled.join(mixed, "key", "left_semi"), "open")
-    discard(members, labelled)
-    groups = open_.select(F.col("lo").alias("p"), F.col("doc_id").alias("m")).distinct().where("p <> m")
-    large = store(groups.groupBy("p").count().where(F.col("count") > PLAIN).select("p"), "large")
-    small = open_.join(large.withColumnRenamed("p", "lo"), "lo", "left_anti")
-    x = small.select("key", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"), "lo", "hi")
-    y = small.select("key", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("g"), F.max("label").alias("l1")).where("g < l1").select("key", "g")
+    open_ = store(labelled.join(mixed, "key"), "open")
+    grouped = store(open_.select("g", F.col("node").alias("m"), "label").distinct(), "groups")
+    large = store(grouped.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") > PLAIN), "large")
+    small = open_.join(large, "g", "left_anti")
+    x = small.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"), "lo", "hi")
+    y = small.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"))
     rest = x.join(y, "key").where(f"a < b and l_a <> l_b and a <> lo and b <> hi and {fits}").select("a", "b")
     if not large.isEmpty():
-        members_of = groups.join(large, "p", "left_semi").join(open_.select(F.col("doc_id").alias("m"), "n", "label").distinct(), "m")
-        members_of = store(members_of.join(open_.select(F.col("doc_id").alias("p"), F.col("label").alias("l_p")).distinct(), "p"), "groups")
-        rest = rest.union(_sharing_differences(docs, members_of, k, num, den).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    pairs = store(rest.distinct(), "pairs")
-    if not pairs.isEmpty():
-        more = _verified(docs, pairs, k, num, den)
-        found2 = store(connected_components(links.union(more)), "labels")
-        discard(found, more)
-        found = found2
-    discard(pairs, links, open_, buckets)
-    of_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("component"))
-    out = sig.select("doc_id", "n", "fp1", "fp2").join(of_class, ["fp1", "fp2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
-
-
-def _sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    return pairs.join(sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b")), "b")
+        around = _around_consensus(docs, nodes, grouped.join(large, "g"), k, num, den)
+        rest = rest.union(around.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    rest = store(rest.distinct(), "pairs")
+    more = rest if rest.isEmpty() else _verified(docs, nodes, rest, k, num, den)
+    label = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"l_{end}"))
+    component = F.coalesce("component", "node")
+    if not more.isEmpty():  # links between components: as a graph of components
+        edges = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b"))
+        joined = connected_components(edges).toDF("_node", "whole")
+        of_node = classes.join(found, "node", "left").withColumn("component", component)
+        of_node = store(of_node.join(joined, F.col("component") == F.col("_node"), "left").withColumn("component", F.coalesce("whole", "component")).drop("_node", "whole"), "components")
+    else:
+        of_node = store(classes.join(found, "node", "left").withColumn("component", component), "components")
+    discard(members, labelled, open_, grouped, large, pairs, rest, links, more, found, classes)
+    return sig.drop("bands"), of_node
+
+
+def _near_duplicates(docs: DataFrame, num: int, den: int, k: int, rows: int, miss: float) -> DataFrame:
+    """``doc_id, text_key, fp1, fp2, n_shingles, component_id, kept`` of every row."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sig, classes = _classes(docs, num, den, k, rows, miss)
+    # a component's smallest id is its smallest node's, but for nodes that aren't ids
+    least = classes.groupBy("component").agg(F.min("rep").alias("least"))
+    of_class = classes.join(least, "component").select("fp1", "fp2", "least")
+    out = sig.join(of_class, ["fp1", "fp2"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    return out.select("doc_id", "text_key", "fp1", "fp2", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, k: int = 5, rows: int = 6, miss: float = 1e-8) -> DataFrame:
+    """Components of documents linked at shingle similarity num/den or more.
+
+    Returns one row per input row: ``doc_id, n_shingles, component_id, kept``. Further columns of
+    ``docs`` (whatever their names) play no part. Null or empty texts have no shingle and are
+    components of their own; fewer than ``k`` words make one shingle. Rows that repeat a ``doc_id``
+    with one text share its component; with other texts each has the component of its own text. A
+    null ``doc_id`` is linked with nothing and has a null component, and ``kept`` null; an empty table
+    gives an empty table.
+    """
+    return _near_duplicates(docs, num, den, k, rows, miss).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def deduplicate(docs: DataFrame, num: int = 4, den: int = 5, k: int = 5) -> DataFrame:
     """The rows of ``docs`` whose document stands for its component (the smallest id).
 
-    Of rows that repeat a ``doc_id`` one stays; rows with a null ``doc_id`` all stay."""
-    kept = near_duplicates(docs, num, den, k).where("kept").select("doc_id").distinct()
-    own = docs.where("doc_id is null")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(own)
+    Of rows that repeat a ``doc_id`` with the same shingles one stays; rows with a null ``doc_id`` all
+    stay. The columns are those of ``docs``."""
+    kept = _near_duplicates(docs, num, den, k, 6, 1e-8).where("kept").groupBy("doc_id", "fp1", "fp2").agg(F.min("text_key").alias("text_key"))
+    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_key"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _text_key())
+    out = rows.join(kept, (rows.doc_id == kept._kept_id) & (rows.text_key == kept._kept_key), "left_semi").dropDuplicates(["doc_id", "text_key"]).select("row.*")
+    return out.union(docs.where("doc_id is null"))

@@ -76,21 +76,52 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, plain, num, den):
     assert got == brute_components(rows, num, den)
 
 
-def test_shared_differences_find_all_links(spark):
-    r = random.Random(0)
-    base = [f"w{i}" for i in range(120)]
-    rows = [(0, " ".join(base))]
-    for i in range(1, 60):
-        w = base[: r.choice([80, 92, 93, 120])] + [f"t{r.randrange(3)}x{j}" for j in range(r.choice([0, 0, 3, 12]))]
-        for _ in range(r.choice([0, 1, 3])):
+def family(r, members, words=120):
+    """Texts around one base: edits in few places, cut copies, a variant that many share."""
+    base = [f"w{i}" for i in range(words)]
+    yield " ".join(base)
+    for _ in range(members):
+        w = base[: r.choice([80, 92, 93, 120, 120, 120])] + [f"t{r.randrange(3)}x{j}" for j in range(r.choice([0, 0, 3, 12]))]
+        if r.random() < 0.3:
+            w[10:25] = [f"v{j}" for j in range(15)]
+        for _ in range(r.choice([0, 1, 3, 5])):
             w[r.randrange(len(w))] = f"x{r.randrange(40)}"
-        rows.append((i, " ".join(w)))
+        yield " ".join(w)
+
+
+@pytest.mark.parametrize(("num", "den"), [(85, 100), (4, 5)])
+def test_consensus_candidates_connect_all_links(spark, num, den):
+    r = random.Random(num)
+    rows = list(enumerate([*family(r, 90), *(" ".join(x) for x in [["q"], ["one", "two"]])]))
     sets = {d: shingles(t) for d, t in rows}
-    linked = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
-    apart = [d for d in range(1, 60) if not linked(0, d)]
-    groups = spark.createDataFrame([(0, d, len(sets[d]), d, 0) for d in apart], "p long, m long, n long, label long, l_p long")
-    found = {tuple(sorted(x)) for x in minhash._sharing_differences(documents(spark, rows), groups, 5, 4, 5).select("a", "b").collect()}
-    assert {(a, b) for a, b in combinations(apart, 2) if sets[a] != sets[b] and linked(a, b)} <= found
+    linked = lambda a, b: den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])
+    want = {d: c for d, (_, c) in brute_components(rows, num, den).items()}
+    docs = documents(spark, rows)
+    nodes = minhash.signatures(docs, 5, 4, 6).selectExpr("doc_id as node", "doc_id as rep", "fp1")
+    # one group of all texts, each of a label of its own, and one in which half the labels are known
+    for known in ({}, {d: c for d, c in want.items() if d % 2}):
+        members = spark.createDataFrame([(g, d, known.get(d, d), len(rows)) for g in (0, 7) for d in sets], "g long, m long, label long, size long")
+        found = {(x["a"], x["b"]) for x in minhash._around_consensus(docs, nodes, members, 5, num, den).collect()}
+        edges = [(a, b) for a, b in found if linked(a, b)] + list(known.items())
+        root = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).distinct().collect()}
+        assert {d: root.get(d, d) for d in sets} == want and len(set(want.values())) > 10
+
+
+def test_large_near_copy_group(spark):
+    r = random.Random(9)
+    rows = list(enumerate([*family(r, 500, words=130), "", None]))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in minhash.near_duplicates(documents(spark, rows)).collect()}
+    assert got == brute_components(rows, 4, 5)
+
+
+def test_one_id_with_two_texts(spark):
+    r = random.Random(2)
+    base, other = (" ".join(f"{p}{i}" for i in range(60)) for p in "ab")
+    near = lambda t: t + " " + r.choice("xyz")
+    rows = [(5, base), (5, other), (5, other), (2, near(base)), (9, near(other)), (5, base + "  ")]
+    got = sorted((x["doc_id"], x["component_id"], x["kept"]) for x in minhash.near_duplicates(documents(spark, rows)).collect())
+    assert got == [(2, 2, True), (5, 2, False), (5, 2, False), (5, 5, True), (5, 5, True), (9, 5, False)]
+    assert sorted((x["doc_id"], x["text"]) for x in minhash.deduplicate(documents(spark, rows)).collect()) == [(2, rows[3][1]), (5, other)]
 
 
 def test_near_duplicates_cases(spark):
