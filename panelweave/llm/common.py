@@ -19,9 +19,12 @@ _OWN: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (as in tests, on one machine) a temporary folder stands in."""
+    Only where that is unset and the master is local (as in tests, on one machine) a temporary folder
+    stands in; on a cluster its absence is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         base = _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="panelweave-"))
     return base.rstrip("/")
@@ -57,6 +60,14 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have (names are compared without case): ``name``, or with underscores before it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def text_bytes(col: str = "text"):
     return F.coalesce(F.octet_length(F.col(col)), F.lit(0)).cast("long")
 

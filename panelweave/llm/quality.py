@@ -3,8 +3,8 @@
 One weight vector over hashed text features is shared by all grades; ordered thresholds
 t_0 < t_1 < ... cut its score: P(grade <= j) = sigmoid(t_j - w.x). That gives an expected grade and
 the probability of each tail. Features are words (by the root of their share of the text, so that long
-texts don't add up the small weights of ordinary words), what punctuation hangs on words, and shares of
-capitals, repeated and distinct words. Only features whose occurrence differs between grades (by a
+texts don't add up the small weights of ordinary words), beginnings of words, what punctuation hangs on
+words, and shares of capitals, repeated and distinct words. Only features whose occurrence differs between grades (by a
 likelihood ratio test) get a weight.
 
 The model is fit on the driver on a bounded sample of rated documents (``sample`` ratings, those with
@@ -23,13 +23,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
-from .common import LOWER, record_batch, slices
+from .common import LOWER, fresh, record_batch, slices
 
 BITS = 18
 _PUNCTUATION = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
 #: Places of the share features; hashed ones come after them.
 CAPITALS, REPEATED, DISTINCT, SHORT, SHARES = range(5)
+#: Lengths, in characters, of the beginnings of words that are features.
+STEMS = (3, 5)
 
 
 class Features:
@@ -38,11 +41,15 @@ class Features:
     def __init__(self, bits: int = BITS, limit: int = 300_000):
         self.size, self.limit, self.known = 1 << bits, limit, {}
 
-    def _of(self, word: bytes) -> tuple[int, int, bool]:
+    def _of(self, word: bytes) -> tuple[list[int], int, bool]:
         core = word.translate(None, _PUNCTUATION)
+        low = core.translate(LOWER)
+        letters = low.decode("utf-8", "replace")
+        # the word itself and, of a longer word, its beginnings: stems that bear many endings
+        kinds = [(b"w", low), *((b"%d" % n, letters[:n].encode()) for n in STEMS if len(letters) > n)]
         marks = word.translate(LOWER).translate(None, bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100)))
         place = lambda kind, x: SHARES + xxhash.xxh3_64_intdigest(kind + x) % (self.size - SHARES) if x else -1
-        return place(b"w", core.translate(LOWER)), place(b"p", marks), len(core) > 1 and core.isupper()
+        return [place(*x) for x in kinds if low], place(b"p", marks), len(core) > 1 and core.isupper()
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         raw = (text or "").encode("utf-8", "surrogatepass").split()
@@ -56,8 +63,8 @@ class Features:
         for w, c in counts.items():
             if (f := known.get(w)) is None:
                 f = known[w] = self._of(w)
-            if f[0] >= 0:
-                words[f[0]] += c
+            for place in f[0]:
+                words[place] += c
             if f[1] >= 0:
                 marks[f[1]] += c
             if f[2]:
@@ -98,13 +105,98 @@ def _evidence(rows: list, grades: int, size: int) -> np.ndarray:
     return 2 * (part(seen, total * share) + part(total - seen, total * (1 - share))).sum(0)
 
 
-def train(docs: DataFrame, ratings: DataFrame, sample: int = 8000, passes: int = 8, rate: float = 0.3, l1: float = 2e-3, evidence: float = 12.0, bits: int = BITS, seed: int = 3) -> OrdinalModel:
-    """Fits on ``docs(doc_id, text)`` with ``ratings(doc_id, grade)``.
+def losses(model: OrdinalModel, rows: list) -> np.ndarray:
+    """Negative log-likelihood of each row ``(places, values, grade)``."""
+    out = []
+    for at, x, grade in rows:
+        y, s = model.grades.index(grade), float(x @ model.weights[at])
+        above = _sigmoid(model.thresholds[y] - s) if y < len(model.thresholds) else 1.0
+        below = _sigmoid(model.thresholds[y - 1] - s) if y else 0.0
+        out.append(-math.log(max(above - below, 1e-12)))
+    return np.array(out)
+
+
+def _minimum(f, x: np.ndarray, rounds: int, memory: int = 10, tolerance: float = 1e-6) -> np.ndarray:
+    """Minimises f, which returns value and gradient, by limited-memory BFGS with backtracking."""
+    value, g = f(x)
+    steps: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(rounds):
+        d, used = -g, []
+        for s, y, r in reversed(steps):
+            used.append(a := r * (s @ d))
+            d = d - a * y
+        if steps:
+            d = d * ((s0 := steps[-1][0]) @ (y0 := steps[-1][1]) / (y0 @ y0))
+        for (s, y, r), a in zip(steps, reversed(used), strict=True):
+            d = d + s * (a - r * (y @ d))
+        slope, t = float(g @ d), 1.0 if steps else 1.0 / max(1.0, float(np.abs(g).sum()))
+        while (new := f(x + t * d))[0] > value + 1e-4 * t * slope and t > 1e-12:
+            t /= 2
+        s, y = t * d, new[1] - g
+        settled = value - new[0] <= tolerance * max(1.0, abs(value))
+        x, value, g = x + s, *new
+        if settled:
+            break
+        if s @ y > 1e-12:
+            steps = [*steps[1 - memory :], (s, y, 1 / (s @ y))]
+    return x
+
+
+def objective(rows: list, grades: int, size: int, ridge: float):
+    """The penalised negative log-likelihood and its gradient, as a function of ``size`` weights, the
+    first threshold and the logarithms of the thresholds' distances; rows are ``(places, values, y)``."""
+    at, x = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]).astype(np.float64)
+    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    y = np.array([r[2] for r in rows])
+    sigmoid = lambda v: 0.5 * (1 + np.tanh(0.5 * v))
+
+    def f(params):
+        w, gaps = params[:size], np.exp(np.minimum(params[size + 1 :], 30))
+        cut = np.concatenate(([-np.inf], params[size] + np.concatenate(([0], np.cumsum(gaps))), [np.inf]))
+        s = np.bincount(row, x * w[at], len(rows))
+        above, below = sigmoid(cut[y + 1] - s), sigmoid(cut[y] - s)
+        p = np.maximum(above - below, 1e-12)
+        by_score = (1 - above - below) / len(rows)
+        up, down = -above * (1 - above) / p / len(rows), below * (1 - below) / p / len(rows)
+        by_cut = np.bincount(y, up, grades)[:-1] + np.bincount(y, down, grades)[1:]
+        later = np.cumsum(by_cut[::-1])[::-1]  # a threshold moves all that come after it
+        g = np.concatenate((np.bincount(at, x * by_score[row], size) + ridge * w, later[:1], later[1:] * gaps))
+        return float(-np.log(p).mean() + 0.5 * ridge * (w @ w)), g
+
+    return f
+
+
+def fit(rows: list, ridge: float = 1e-5, rounds: int = 300, evidence: float = 12.0, bits: int = BITS) -> OrdinalModel:
+    """Fits on rows ``(places, values, grade)``: the minimum of the mean negative log-likelihood plus
+    half of ``ridge`` times the squared weights, in at most ``rounds`` steps.
+
+    Features whose likelihood ratio statistic (of occurrence against grade) is under ``evidence`` get
+    no weight. Without rows the model has no grade."""
+    grades = sorted({g for _, _, g in rows})
+    weights = np.zeros(1 << bits)
+    if len(grades) < 2:
+        return OrdinalModel(tuple(map(int, grades)), (), weights.astype(np.float32))
+    rows = [(at, x, grades.index(g)) for at, x, g in rows]
+    use = _evidence(rows, len(grades), 1 << bits) >= evidence
+    use[:SHARES] = True
+    used = np.flatnonzero(use)
+    number = np.cumsum(use) - 1
+    rows = [(number[at[m := use[at]]], x[m], y) for at, x, y in rows]
+    share = np.cumsum(np.bincount([y for _, _, y in rows], minlength=len(grades)))[:-1] / len(rows)
+    cut = np.log(share / (1 - share))
+    start = np.concatenate((np.zeros(len(used)), cut[:1], np.log(np.maximum(np.diff(cut), 1e-3))))
+    found = _minimum(objective(rows, len(grades), len(used), ridge), start, rounds)
+    weights[used] = found[: len(used)]
+    cut = found[len(used)] + np.concatenate(([0], np.cumsum(np.exp(found[len(used) + 1 :]))))
+    return OrdinalModel(tuple(map(int, grades)), tuple(map(float, cut)), weights.astype(np.float32))
+
+
+def train(docs: DataFrame, ratings: DataFrame, sample: int = 8000, bits: int = BITS, seed: int = 3, **options) -> OrdinalModel:
+    """Fits on ``docs(doc_id, text)`` with ``ratings(doc_id, grade)``; ``options`` as in ``fit``.
 
     Ratings with a null id or grade are ignored; a document rated more than once has its lowest
-    grade; ratings of unknown documents play no part; features whose likelihood ratio
-    statistic (of occurrence against grade, in the sample) is under ``evidence`` get no weight. Without
-    ratings the model has no grade."""
+    grade; of rows that repeat a rated id one counts, that with the smallest hash of its text; ratings
+    of unknown documents play no part. Without ratings the model has no grade."""
     per = ratings.where("doc_id is not null and grade is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("grade").cast("int").alias("grade"))
     chosen = per.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)  # at most `sample` rows
     schema = pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("at", pa.binary()), ("x", pa.binary())])
@@ -116,65 +208,47 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = 8000, passes: int =
             yield record_batch(schema, doc_id=batch.column(0), grade=batch.column(1), at=[a.tobytes() for a, _ in f], x=[v.tobytes() for _, v in f])
 
     rated = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")
+    rated = rated.groupBy("doc_id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     got = rated.mapInArrow(run, "doc_id long, grade int, at binary, x binary").toPandas().sort_values(["doc_id", "at"])
-    grades = sorted(set(got["grade"]))
-    weights = np.zeros(1 << bits)
-    if len(grades) < 2:
-        return OrdinalModel(tuple(map(int, grades)), (), weights.astype(np.float32))
-    rows = [(np.frombuffer(a, np.int64), np.frombuffer(x, np.float32), grades.index(g)) for g, a, x in zip(got["grade"], got["at"], got["x"], strict=True)]
-    use = _evidence(rows, len(grades), 1 << bits) >= evidence
-    use[:SHARES] = True
-    rows = [(at[m := use[at]], x[m], y) for at, x, y in rows]
-    share = np.cumsum(np.bincount([y for _, _, y in rows], minlength=len(grades)))[:-1] / len(rows)
-    cut = np.log(share / (1 - share))
-    square, cut_square = np.full(1 << bits, 1e-2), np.full(len(cut), 1e-2)
-    order = np.random.default_rng(seed)
-    for _ in range(passes):
-        for i in order.permutation(len(rows)):
-            at, x, y = rows[i]
-            s = float(x @ weights[at])
-            above = _sigmoid(cut[y] - s) if y < len(cut) else 1.0
-            below = _sigmoid(cut[y - 1] - s) if y else 0.0
-            p = max(above - below, 1e-9)
-            # gradients of the negative log-likelihood
-            g = (1 - above - below) * x
-            square[at] += g * g
-            step = rate / np.sqrt(square[at])
-            w = weights[at] - step * g
-            weights[at] = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
-            for j, d in ((y, -above * (1 - above) / p), (y - 1, below * (1 - below) / p)):
-                if 0 <= j < len(cut):
-                    cut_square[j] += d * d
-                    cut[j] -= rate / math.sqrt(cut_square[j]) * d
-            cut = np.maximum.accumulate(cut + np.arange(len(cut)) * 1e-9)
-    return OrdinalModel(tuple(map(int, grades)), tuple(map(float, cut)), weights.astype(np.float32))
+    rows = [(np.frombuffer(a, np.int64), np.frombuffer(x, np.float32), g) for g, a, x in zip(got["grade"].tolist(), got["at"], got["x"], strict=True)]
+    return fit(rows, bits=bits, **options)
 
 
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """All rows and columns of ``docs`` with ``expected_grade`` and ``p_top`` (probability of the
     highest grade), from the whole text; null and empty texts have the feature of a short text alone.
     Columns of ``docs`` with these names are replaced. Both are null if the model knows no grade; with one grade p_top is 1."""
+    return _scored(docs.drop("expected_grade", "p_top"), model, "expected_grade", "p_top")
+
+
+def _scored(docs: DataFrame, model: OrdinalModel, *names: str) -> DataFrame:
+    """``docs`` with the expected grade and the top grade's probability under two new names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("expected_grade", "p_top")
     place = docs.columns.index("text")
-    from pyspark.sql.types import DoubleType, StructType
-
-    schema = StructType([*docs.schema.fields]).add("expected_grade", DoubleType()).add("p_top", DoubleType())
+    schema = StructType([*docs.schema.fields])
+    for name in names:
+        schema = schema.add(name, DoubleType())
 
     def run(batches):
         features, model = Features(int(shared.value.weights.size).bit_length() - 1), shared.value
         for batch in slices(batches):
             got = [model.score(*features(t)) if model.grades else (None, None) for t in batch.column(place).to_pylist()]
             more = [pa.array([g[i] for g in got], pa.float64()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "expected_grade", "p_top"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 
 
-def select(docs: DataFrame, model: OrdinalModel, least: float = 0.5) -> DataFrame:
+#: Least probability of the top grade at which a document is kept: on held-out labels a toxic document is
+#: as likely to lie between a half and this as a clean one is to lie below it.
+LEAST = 0.7
+
+
+def select(docs: DataFrame, model: OrdinalModel, least: float = LEAST) -> DataFrame:
     """The rows of ``docs`` whose top grade has a probability of ``least`` or more (all rows, if the
-    model knows no grade), with the columns of ``docs``."""
-    return score(docs, model).where(F.coalesce(F.col("p_top"), F.lit(1.0)) >= least).select(*docs.columns)
+    model knows no grade), with the columns of ``docs``, whatever their names."""
+    names = [fresh(docs, "expected_grade"), fresh(docs, "p_top")]
+    return _scored(docs, model, *names).where(F.coalesce(F.col(names[1]), F.lit(1.0)) >= least).select(*docs.columns)
 
 
 def grades_from_labels(labels: DataFrame) -> DataFrame:

@@ -100,8 +100,9 @@ def test_consensus_candidates_connect_all_links(spark, num, den):
     nodes = minhash.signatures(docs, 5, 4, 6).selectExpr("doc_id as node", "doc_id as rep", "fp1")
     # one group of all texts, each of a label of its own, and one in which half the labels are known
     for known in ({}, {d: c for d, c in want.items() if d % 2}):
-        members = spark.createDataFrame([(g, d, known.get(d, d), len(rows)) for g in (0, 7) for d in sets], "g long, m long, label long, size long")
-        found = {(x["a"], x["b"]) for x in minhash._around_consensus(docs, nodes, members, 5, num, den).collect()}
+        members = spark.createDataFrame([(g, d, known.get(d, d)) for g in (0, 7) for d in sets], "g long, m long, label long")
+        groups = spark.createDataFrame([(0, len(rows)), (7, len(rows))], "g long, size long")
+        found = {(x["a"], x["b"]) for x in minhash._around_consensus(docs, nodes, members, groups, 5, num, den).collect()}
         edges = [(a, b) for a, b in found if linked(a, b)] + list(known.items())
         root = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).distinct().collect()}
         assert {d: root.get(d, d) for d in sets} == want and len(set(want.values())) > 10
@@ -390,11 +391,39 @@ def test_quality(spark):
     got = {x["doc_id"]: x for x in quality.score(docs, model).collect()}
     right = [(got[i]["p_top"] >= 0.5) == (i % 4 > 1) for i in range(0, 400, 5)]
     assert sum(right) >= 0.95 * len(right) and all(0 <= x["expected_grade"] <= 2 for x in got.values())
-    kept = quality.select(docs, model)
-    assert kept.columns == docs.columns
+    own = docs.withColumns({"p_top": F.lit("mine"), "expected_grade": F.col("doc_id")})
+    kept = quality.select(own, model)
+    assert kept.columns == own.columns and kept.where("p_top <> 'mine' or expected_grade <> doc_id").count() == 0
+    assert quality.score(own, model).where("p_top between 0 and 1").count() == docs.count()
+    twice = quality.train(docs.where("doc_id % 5 > 0").union(docs.where("doc_id % 5 > 0")), ratings.where("doc_id % 5 > 0"))
+    assert twice.thresholds == pytest.approx(model.thresholds, rel=1e-3)
     nothing = quality.train(docs, ratings.limit(0))
     assert quality.select(docs, nothing).count() == docs.count() and quality.score(empty(spark), model).count() == 0
 
 
+def test_quality_fit_is_the_likelihood_minimum():
+    """Against numeric gradients and a plain descent on the same penalised likelihood."""
+    r = np.random.default_rng(1)
+    rows = []
+    for _ in range(300):
+        at = r.choice(np.arange(4, 10), 3, replace=False)
+        x = r.random(3).astype(np.float32)
+        s = float(x @ np.linspace(-3, 3, 6)[at - 4]) + r.logistic()
+        rows.append((at, x, int(np.searchsorted([-1, 0.5, 2], s))))
+    f = quality.objective(rows, 4, 10, 1e-2)
+    start = r.normal(size=13)
+    value, g = f(start)
+    numeric = [(f(start + 1e-5 * e)[0] - f(start - 1e-5 * e)[0]) / 2e-5 for e in np.eye(13)]
+    assert np.allclose(g, numeric, atol=1e-6)
+    x = np.concatenate((np.zeros(10), [-1, 0, 0]))
+    for _ in range(20_000):
+        x = x - 0.5 * f(x)[1]
+    model = quality.fit(rows, ridge=1e-2, evidence=0, bits=8)
+    assert np.allclose(model.weights[4:10], x[4:10], atol=0.02) and np.allclose(model.thresholds, x[10] + np.cumsum([0, *np.exp(x[11:])]), atol=0.02)
+    assert quality.losses(model, rows).mean() + 0.5e-2 * (model.weights**2).sum() <= f(x)[0] + 1e-4
+    top = model.score(np.array([9]), np.array([50.0]))
+    assert top[1] > 0.99 and 2.99 < top[0] <= 3
+
+
 def test_shared_folder_comes_from_the_session(spark):
     assert common.work_path(spark, "x").startswith(common.shared_dir(spark))
