@@ -147,7 +147,9 @@ def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
                     node.append(x), sets.append(s.tobytes())
             yield record_batch(_SET, node=node, s=sets)
 
-    texts = docs.join(nodes.withColumnRenamed("rep", "doc_id"), "doc_id").select("node", "fp1", "text")
+    # written first: by the size of its file it is broadcast or shuffled
+    nodes = store(nodes.withColumnRenamed("rep", "doc_id"), "wanted")
+    texts = docs.join(nodes, "doc_id").select("node", "fp1", "text")
     return texts.mapInArrow(run, "node long, s binary").groupBy("node").agg(F.first("s").alias("s"))
 
 
@@ -180,8 +182,8 @@ _HELD = pa.schema([("g", _LONG), ("e", _LONG)])
 _DIFF = pa.schema([("g", _LONG), ("m", _LONG), ("label", _LONG), ("size", _LONG), ("n", _LONG), ("i", _LONG), ("nc", _LONG), ("only_m", pa.list_(_LONG)), ("only_c", pa.list_(_LONG))])
 
 
-def _differences(sets: DataFrame, members: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Of members ``(g, m, label, size)``: how often each element occurs in a group, ``(g, e, c)`` where
+def _differences(sets: DataFrame, members: DataFrame, groups: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Of members ``(g, m, label, size)`` of ``groups(g, size)``: how often each element occurs in a group, ``(g, e, c)`` where
     that is more than once, and the differences of each member from the group's consensus."""
 
     def flatten(batches):
@@ -205,26 +207,29 @@ def _differences(sets: DataFrame, members: DataFrame, num: int, den: int) -> tup
     counts = held.select("g", "s").mapInArrow(flatten, "g long, e long").groupBy("g", "e").agg(F.count("*").alias("c")).where("c > 1")
     counts = store(counts, "counts")
     # more than half of the members have each: at most twice their mean size
-    most = counts.join(members.select("g", "size").distinct(), "g").where("2 * c > size").groupBy("g").agg(F.collect_list("e").alias("cs"))
+    most = counts.join(groups, "g").where("2 * c > size").groupBy("g").agg(F.collect_list("e").alias("cs"))
+    most = store(most, "consensus")
     both = held.join(most, "g", "left").select("g", "m", "label", "size", "s", "cs")
     schema = "g long, m long, label long, size long, n long, i long, nc long, only_m array<long>, only_c array<long>"
     return counts, store(both.mapInArrow(differ, schema), "differences")
 
 
-def _around_consensus(docs: DataFrame, nodes: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """``a, b``: members ``(g, m, label, size)`` of a group that may be linked though their labels
-    differ; see 5. in the module's text."""
+def _around_consensus(docs: DataFrame, nodes: DataFrame, members: DataFrame, groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``a, b``: members ``(g, m, label)`` of one of ``groups(g, size)`` that may be linked though their
+    labels differ; see 5. in the module's text."""
+    members = members.join(groups, "g")
     both, log = num + den, math.log(STEP)
     sets = store(_sets(docs, nodes.join(members.select(F.col("m").alias("node")).distinct(), "node", "left_semi"), k), "sets")
-    counts, diff = _differences(sets, members, num, den)
+    counts, diff = _differences(sets, members, groups, num, den)
     discard(sets)
     # 2 (num + den) times the part of one member in what R and D of a pair must share
     diff = diff.withColumns({"r": F.expr("nc - i"), "d": F.expr("n - i")}).withColumn("h", F.expr(f"2 * {num} * n + {both} * (2 * r - nc)"))
     best = diff.groupBy("g").agg(F.min(F.struct("h", "m", "label")).alias("best")).select("g", "best.*").toDF("g", "h0", "m0", "label0")
+    best = store(best, "closest")
     certain = diff.join(best, "g").where("h + h0 <= 0 and label <> label0").select(F.col("m").alias("a"), F.col("m0").alias("b"))
     # labels that hold a member linked with the closest one for certain count as its label
     joined = diff.groupBy("g", "label").agg(F.min("h").alias("h1")).join(best, "g").select("g", "label", F.expr("if(h1 + h0 <= 0, label0, label)").alias("l"), "label0")
-    known = diff.join(joined, ["g", "label"]).withColumn("main", F.expr("l = label0"))
+    known = diff.join(store(joined, "labels"), ["g", "label"]).withColumn("main", F.expr("l = label0"))
     common = ["g", "m", "n", "i", "d", "r", "nc", "l", "main"]
     outer = known.select(F.lit(0).alias("kind"), *common, F.col("d").alias("w"), "size", F.lit(False).alias("lacks"), F.explode("only_m").alias("e"))
     inner = known.where("only_c is not null").select(F.lit(1).alias("kind"), *common, F.expr("d + r").alias("w"), "size", "only_m", "only_c")
@@ -297,7 +302,7 @@ def _classes(docs: DataFrame, num: int, den: int, k: int, rows: int, miss: float
     y = small.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"))
     rest = x.join(y, "key").where(f"a < b and l_a <> l_b and a <> lo and b <> hi and {fits}").select("a", "b")
     if not large.isEmpty():
-        around = _around_consensus(docs, nodes, grouped.join(large, "g"), k, num, den)
+        around = _around_consensus(docs, nodes, grouped, large, k, num, den)
         rest = rest.union(around.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     rest = store(rest.distinct(), "pairs")
     more = rest if rest.isEmpty() else _verified(docs, nodes, rest, k, num, den)
