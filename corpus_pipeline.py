@@ -12,7 +12,7 @@ from panelweave.llm.common import store
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal classifier, fit on ``labels``, rates good and clean with a
-    probability of 0.5 or more."""
+    probability of 0.7 or more."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.select(docs, quality.train(docs, quality.grades_from_labels(labels)))
 
