@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core.frames import nodes_of, single_task
+from ..core.frames import KERNEL_NODES, nodes_of, single_task
 
 BATCHES = "batch_id int, pos int, node int"
 
@@ -71,6 +71,8 @@ class KHop(Batcher):
         most = self.most
 
         def kernel(pdf):
+            if pdf["seed"].nunique() > KERNEL_NODES:
+                raise ValueError(f"{pdf['seed'].nunique()} nodes; this operator takes {KERNEL_NODES} at most")
             near = {s: g.sort_values(["hop", "node"])["node"].tolist() for s, g in pdf.groupby("seed")}
             free, out = set(near), []
             for seed in sorted(near):

@@ -68,12 +68,29 @@ class ElementWiseMin(_Extreme):
 
 
 class RankAverage(Fuser):
-    """Ordinal ranks of |w| over all N x N cells of each view, summed and brought to [0, 1]."""
+    """Ordinal ranks of |w| over all N x N cells of each view, summed and brought to [0, 1].
+
+    Cells are cut into ranges of |w| at ``cuts`` approximate quantiles of all views; ranks are counted within
+    a range of a view, and the sizes of the ranges before are added, so no task sorts a whole view. A weight
+    of very many cells (the absent ones, 0) is split further by its place."""
+
+    def __init__(self, cuts: int = 64):
+        self.cuts = cuts
 
     def _fuse(self, views, nodes):
         every = tagged([dense(v, nodes) for v in views])
-        rank = F.row_number().over(Window.partitionBy("view").orderBy(F.abs("w"), "src", "dst")) - 1
-        total = every.withColumn("r", rank).groupBy("src", "dst").agg(F.sum("r").cast("double").alias("w"))
+        size = F.abs("w")
+        at = every.agg(F.percentile_approx(size, [i / self.cuts for i in range(1, self.cuts)], 10_000)).first()[0] or []
+        cuts = F.array(*[F.lit(float(c)) for c in sorted(set(at))]).cast("array<double>")
+        # the range, whether |w| is the cut itself, and then the block of rows
+        every = every.withColumns({"part": F.size(F.filter(cuts, lambda c: c < size)), "on": F.array_contains(cuts, size)})
+        every = every.withColumn("rows", F.when(F.col("on"), F.floor(F.col("src") / 64)).otherwise(0))
+        ranges = every.groupBy("view", "part", "on", "rows").agg(F.count("*").alias("n"))
+        before = F.sum("n").over(Window.partitionBy("view").orderBy("part", "on", "rows").rowsBetween(Window.unboundedPreceding, -1))
+        ranges = ranges.select("view", "part", "on", "rows", F.coalesce(before, F.lit(0)).alias("before"))
+        rank = F.row_number().over(Window.partitionBy("view", "part", "on", "rows").orderBy(size, "src", "dst")) - 1
+        ranked = every.withColumn("r", rank).join(ranges, ["view", "part", "on", "rows"]).withColumn("r", F.col("r") + F.col("before"))
+        total = ranked.groupBy("src", "dst").agg(F.sum("r").cast("double").alias("w"))
         span = F.broadcast(total.agg(F.min("w").alias("low"), F.max("w").alias("high")))
         w = F.when(F.col("high") - F.col("low") > 1e-9, (F.col("w") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0))).otherwise(F.col("w"))
         return total.crossJoin(span).select("src", "dst", w.alias("w"))
@@ -98,7 +115,8 @@ class SNFDiffusion(Fuser):
     made symmetric. ``mu`` is accepted and has no effect.
 
     ``method='kernel'`` runs the iterations on dense matrices in one task (bounded by its node limit);
-    ``'distributed'`` runs them as joins, with a checkpoint every second iteration."""
+    ``'distributed'`` runs them as joins; each iteration is checkpointed, or cached if the session has no
+    folder for checkpoints, since a plan of many iterations grows with each."""
 
     def __init__(self, k_neighbors: int = 5, n_iterations: int = 20, mu: float = 0.5, method: str = "kernel"):
         self.k, self.n, self.mu, self.method = k_neighbors, n_iterations, mu, method
@@ -134,13 +152,14 @@ class SNFDiffusion(Fuser):
             both = near.union(near.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg((F.sum("w") / 2).alias("w"))
             s.append(row_normalized(both))
         p = [row_normalized(v) for v in w]
-        for step in range(self.n):
+        for _ in range(self.n):
             nxt = []
             for i in range(len(p)):
                 mean = tagged([x for j, x in enumerate(p) if j != i]).groupBy("src", "dst").agg((F.sum("w") / (len(p) - 1)).alias("w"))
                 turned = s[i].select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
                 nxt.append(row_normalized(multiply(multiply(s[i], mean), turned)))
-            p = [x.checkpoint() for x in nxt] if step % 2 and step + 1 < self.n and has_checkpoint_dir(nxt[0]) else nxt
+            cut = has_checkpoint_dir(nxt[0])
+            p = [x.checkpoint() if cut else x.cache() for x in nxt]
         mean = tagged(p).groupBy("src", "dst").agg((F.sum("w") / len(p)).alias("w"))
         return mean.union(mean.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg((F.sum("w") / 2).alias("w"))
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core.frames import dense, magnitude, nodes_of, single_task
+from ..core.frames import dense, magnitude, single_task
 from ..functions.adjacency import TINY
 
 
@@ -82,17 +82,22 @@ def connectivity(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return spectra(edges, nodes).agg(F.coalesce(at("laplacian", 1), F.lit(0.0)).alias("algebraic_connectivity"), F.coalesce(at("adjacency", 0) - at("adjacency", 1), F.lit(0.0)).alias("spectral_gap"))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` with its plan cut: checkpointed if the session has a folder for that, else cached."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
+
+
 def _settle(start: DataFrame, step, most: int = 64) -> DataFrame:
-    """Repeats ``step`` on a frame of labels until their sum stays; plans are cut where the session has
-    a folder for checkpoints, else held in the cache."""
-    sc = start.sparkSession.sparkContext
-    keep = (lambda d: d.checkpoint()) if sc.getCheckpointDir() else (lambda d: d.cache())
-    now, before = keep(start), None
+    """Repeats ``step`` on a frame of labels until a checksum of it stays; frames of earlier rounds are
+    released."""
+    now, before = _kept(start), None
     for _ in range(most):
-        mark = tuple(now.agg(F.count("*"), F.sum(F.hash(*now.columns).cast("long"))).first())
+        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64(*now.columns).cast("decimal(38,0)"))).first())
         if mark == before:
             return now
-        before, now = mark, keep(step(now))
+        before, last, now = mark, now, _kept(step(now))
+        now.count()
+        last.unpersist()
     raise RuntimeError("labels did not settle")
 
 
@@ -110,33 +115,52 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return _settle(nodes.select("node", F.col("node").alias("component")), step)
 
 
-def reachable(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``src, dst``: dst can be reached from src (itself included); paths double every round."""
-    start = binary(edges).union(nodes.select(F.col("node"), F.col("node"))).distinct()
-
-    def step(r):
-        return r.select("src", F.col("dst").alias("m")).join(r.select(F.col("src").alias("m"), "dst"), "m").select("src", "dst").distinct()
-
-    return _settle(start, step)
+def _reached(start: DataFrame, links: DataFrame, most: int = 10_000) -> DataFrame:
+    """``node, label``: each node that links ``(src, dst)`` lead to from a node of ``start(node, label)``
+    within the same ``label`` of ``links``. A round joins only the nodes found in the round before."""
+    seen = front = _kept(start)
+    for _ in range(most):
+        found = front.join(links.withColumnRenamed("src", "node"), ["node", "label"]).select(F.col("dst").alias("node"), "label").distinct()
+        front = _kept(found.join(seen, ["node", "label"], "left_anti"))
+        if front.isEmpty():
+            return seen
+        seen = _kept(seen.union(front))
+    raise RuntimeError("paths did not end")
+
+
+def strong_components(edges: DataFrame, nodes: DataFrame, most: int = 10_000) -> DataFrame:
+    """``node, component`` (smallest node) of the strongly connected components, by colouring.
+
+    Each node takes the smallest node that leads to it as its colour; the nodes of a colour that lead
+    back to that node are a component. They are removed, and the rest goes on; every round settles a
+    component per colour. Tables stay as long as the graph."""
+    left = _kept(binary(edges).where("src <> dst").distinct())
+    rest, done = nodes.select("node"), None
+    for _ in range(most):
 
+        def step(colours, left=left):
+            near = left.join(colours.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "colour")
+            return colours.union(near).groupBy("node").agg(F.min("colour").alias("colour"))
 
-def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, component`` (smallest node) of the strongly connected components."""
-    r = reachable(edges, nodes)
-    both = r.join(r.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi")
-    return both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("component"))
+        colours = _settle(rest.select("node", F.col("node").alias("colour")), step, 10_000)
+        inside = left.join(colours.toDF("src", "label"), "src").join(colours.toDF("dst", "label"), ["dst", "label"])
+        back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "label")
+        found = _reached(colours.where("node = colour").select("node", F.col("colour").alias("label")), back).withColumnRenamed("label", "component")
+        done = found if done is None else _kept(done.union(found))
+        rest = _kept(rest.join(found, "node", "left_anti"))
+        if rest.isEmpty():
+            return done
+        gone = found.select("node")
+        left = _kept(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+    raise RuntimeError("components did not settle")
 
 
 def is_connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row ``connected``: every node is reached from the first along edges w > 0."""
-    positive = edges.where("w > 0").select("src", "dst")
-    first = nodes.agg(F.min("node").alias("node"))
-
-    def step(seen):
-        return seen.union(seen.join(positive, seen["node"] == positive["src"]).select(F.col("dst").alias("node"))).distinct()
-
-    seen = _settle(first, step, 10_000)
-    return nodes.join(seen.withColumn("seen", F.lit(1)), "node", "left").agg(F.coalesce(F.min(F.coalesce("seen", F.lit(0))), F.lit(1)).alias("s")).select((F.col("s") == 1).alias("connected"))
+    positive = edges.where("w > 0").select("src", "dst", F.lit(0).alias("label"))
+    first = nodes.agg(F.min("node").alias("node")).select("node", F.lit(0).alias("label"))
+    seen = _reached(first, positive)
+    return nodes.join(seen, "node", "left").agg(F.coalesce(F.min(F.coalesce(F.col("label") + 1, F.lit(0))), F.lit(1)).alias("s")).select((F.col("s") == 1).alias("connected"))
 
 
 def graph_metrics(edges: DataFrame, nodes: DataFrame, directed: bool = True) -> DataFrame:
@@ -153,7 +177,8 @@ def graph_metrics(edges: DataFrame, nodes: DataFrame, directed: bool = True) ->
 
 def compare(a: DataFrame, b: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row of comparisons; an edge is w > 0, A is the truth. Cells that either has are joined; the
-    others, zero in both, enter sums by their number."""
+    others, zero in both, enter sums by their number. Degree correlations are of weighted degrees, sums of
+    all signed weights of a row or column; ``overlap`` is the Jaccard index, 1 if neither has an edge."""
     both = a.select("src", "dst", F.col("w").alias("x")).join(b.select("src", "dst", F.col("w").alias("y")), ["src", "dst"], "full").select("src", "dst", F.coalesce("x", F.lit(0.0)).alias("x"), F.coalesce("y", F.lit(0.0)).alias("y"))
     i = lambda c: F.sum(c.cast("double"))
     p, q, x, y = F.col("x") > 0, F.col("y") > 0, F.col("x"), F.col("y")
@@ -163,16 +188,16 @@ def compare(a: DataFrame, b: DataFrame, nodes: DataFrame) -> DataFrame:
     zero = lambda e: F.coalesce(e, F.lit(0.0))
     precision, recall = zero(F.try_divide(c("common"), c("eb"))), zero(F.try_divide(c("common"), c("ea")))
     out = s.select(
+        n.cast("long").alias("num_nodes"), (c("ea") / n).alias("avg_degree_a"), (c("eb") / n).alias("avg_degree_b"),
+        F.abs(c("ea") - c("eb")).cast("long").alias("edge_difference"), F.coalesce(F.try_divide(c("common"), c("any")), F.lit(1.0)).alias("overlap"),
         c("ea").cast("long").alias("edges_a"), c("eb").cast("long").alias("edges_b"), c("common").cast("long").alias("common_edges"),
         c("l1").alias("l1_weighted"), (c("l1") / n).alias("l1_weighted_per_node"), c("l1b").alias("l1_binary"), (c("l1b") / n).alias("l1_binary_per_node"), F.sqrt("sq").alias("frobenius"),
         (c("common") / (c("any") + F.lit(1e-12))).alias("jaccard"), precision.alias("precision"), recall.alias("recall"),
         zero(F.try_divide(2 * precision * recall, precision + recall)).alias("f1"), zero(F.try_divide(c("xy"), F.sqrt(c("xx") * c("yy")))).alias("cosine"), zero(corr).alias("pearson"),
     )
-    ends = lambda e, col, name: e.where("w > 0").groupBy(F.col(col).alias("node")).agg(F.count("*").cast("double").alias(name))
     wide = nodes
-    for e, col, name in ((a, "src", "oa"), (b, "src", "ob"), (a, "dst", "ia"), (b, "dst", "ib")):
-        wide = wide.join(ends(e, col, name), "node", "left")
-    wide = wide.fillna(0.0)
+    for e, names in ((a, ("ia", "oa")), (b, ("ib", "ob"))):
+        wide = wide.join(weighted_degrees(e, nodes).toDF("node", *names), "node")
 
     def corr_of(u, v):
         return zero(F.try_divide(F.covar_pop(u, v), F.stddev_pop(u) * F.stddev_pop(v)))
@@ -313,7 +338,3 @@ def node_series(panel: DataFrame, node: int, start: int | None = None, stop: int
     out = out if start is None else out.where(F.col("t") >= start)
     out = out if stop is None else out.where(F.col("t") < stop)
     return out.select("t", "value")
-
-
-def nodes_in(edges: DataFrame) -> DataFrame:
-    return nodes_of(edges)

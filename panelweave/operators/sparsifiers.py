@@ -166,7 +166,7 @@ def maximum_spanning_forest(edges: DataFrame, nodes: DataFrame | None = None) ->
     """``src, dst, w`` (src < dst) of the maximum spanning forest of |w|, ties by (src, dst) descending.
 
     A forest of a union is the forest of the parts' forests: each task keeps the forest of its own
-    edges (N - 1 at most), and one task joins those."""
+    edges (N - 1 at most), so do a few tasks with what is left, and one task joins theirs."""
 
     def forest(frames):
         held = pd.concat([f for f in frames] or [pd.DataFrame({"src": [], "dst": [], "w": []})])
@@ -189,7 +189,8 @@ def maximum_spanning_forest(edges: DataFrame, nodes: DataFrame | None = None) ->
 
     upper = candidates(edges).groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("w").alias("w")).where("w > 0")
     schema = "src int, dst int, w double"
-    return upper.mapInPandas(forest, schema).coalesce(1).mapInPandas(forest, schema)
+    few = upper.mapInPandas(forest, schema).repartition(16, "src", "dst").mapInPandas(forest, schema)
+    return few.repartition(1).mapInPandas(forest, schema)
 
 
 class MST(Sparsifier):

@@ -136,7 +136,7 @@ add("gen_cosine", lambda b: b.cos, f"WITH {PANEL}{COS} SELECT {W} FROM cosine")
 add(
     "gen_cosine_embeddings_top",
     lambda b: make_adjacency(generators.cosine_top(panels.embedding_vectors(b.spark, b.dir), 2).cache(), 0, "top-k-row", mask_params={"k_per_node": 2}),
-    f"""WITH v AS (SELECT CAST(vec_id AS INTEGER) AS node, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE vec_id < 300),
+    f"""WITH v AS (SELECT CAST(vec_id AS INTEGER) AS node, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
     q AS (SELECT node, sqrt(sum(x * x)) + 1e-8 AS q FROM v GROUP BY 1), u AS (SELECT node, i, x / q AS x FROM v JOIN q USING (node)),
     c AS (SELECT a.node AS src, b.node AS dst, sum(a.x * b.x) AS w FROM u a JOIN u b USING (i) WHERE a.node <> b.node GROUP BY 1, 2),
     k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY abs(w) DESC, dst DESC) AS r FROM c) SELECT src, dst, {r("abs(w)", "w")} FROM k WHERE r <= 2""",
@@ -165,8 +165,8 @@ add(
     3,
 )
 add("gen_granger", lambda b: generators.Granger(2).generate(b.hours))
-add("gen_embedding_cosine", lambda b: generators.CosineOfEmbeddings(8, 16).generate(b.panel))
-add("gen_study_correlation", lambda b: generators.Pearson().generate(b.panel.where("node < 10")), f"WITH {SIM} SELECT {W} FROM sim WHERE src < 10 AND dst < 10")
+add("gen_embedding_cosine", lambda b: generators.CosineOfEmbeddings().generate(b.panel))
+add("gen_study_correlation", lambda b: generators.Pearson().generate(b.panel.where("node < 50")), f"WITH {SIM} SELECT {W} FROM sim WHERE src < 50 AND dst < 50")
 
 # ------------------------------------------------------------------ element-wise, checks, transforms
 
@@ -283,8 +283,8 @@ def _snf_sql(rounds: int) -> str:
     return f"WITH {', '.join(out)} SELECT src, dst, {r('sum(w) / 2', 'w')} FROM (SELECT * FROM m UNION ALL SELECT dst, src, w FROM m) GROUP BY 1, 2"
 
 
-add("fuse_snf", lambda b: fusion.SNFDiffusion(5, 2).fuse([b.sim, b.cos], b.nodes), _snf_sql(2))
-add("fuse_snf_distributed", lambda b: fusion.SNFDiffusion(5, 2, method="distributed").fuse([b.sim, b.cos], b.nodes), _snf_sql(2))
+add("fuse_snf", lambda b: fusion.SNFDiffusion().fuse([b.sim, b.cos], b.nodes), _snf_sql(20))
+add("fuse_snf_distributed", lambda b: fusion.SNFDiffusion(method="distributed").fuse([b.sim, b.cos], b.nodes), _snf_sql(20))
 ATTENTION = fusion.Attention([[1.0, -0.5], [0.25, 0.75]], [0.1, -0.2], [[0.5, 1.0], [-1.0, 0.5]], [0.0, 0.3])
 add(
     "fuse_attention", lambda b: ATTENTION.fuse([b.sim, b.cos], b.nodes),
@@ -332,10 +332,10 @@ add("metrics_all", lambda b: metrics.graph_metrics(b.graph, b.nodes))
 add("metrics_all_undirected", lambda b: metrics.graph_metrics(adjacency.symmetrize(b.graph), b.nodes, directed=False))
 SIDES = f"WITH {GRAPH}{COS}, o AS (SELECT src, dst, CASE WHEN w > 0.5 THEN w ELSE 0 END AS w FROM cosine), z AS (SELECT n.node AS src, m.node AS dst, coalesce(a.w, 0) AS x, coalesce(o.w, 0) AS y FROM nodes n CROSS JOIN nodes m LEFT JOIN graph a ON a.src = n.node AND a.dst = m.node LEFT JOIN o ON o.src = n.node AND o.dst = m.node)"
 COUNTS = ", s AS (SELECT (SELECT count(*) FROM nodes) AS n, count(*) FILTER (x > 0) AS ea, count(*) FILTER (y > 0) AS eb, count(*) FILTER (x > 0 AND y > 0) AS c, count(*) FILTER (x > 0 OR y > 0) AS o, count(*) FILTER ((x > 0) <> (y > 0)) AS lb, sum(abs(x - y)) AS l1, sqrt(sum((x - y) * (x - y))) AS fro, sum(x * y) / sqrt(sum(x * x) * sum(y * y)) AS cs, corr(x, y) AS pr FROM z)"
-ENDS = ", de AS (SELECT node, (SELECT count(*) FROM z WHERE src = node AND x > 0) AS oa, (SELECT count(*) FROM z WHERE src = node AND y > 0) AS ob, (SELECT count(*) FROM z WHERE dst = node AND x > 0) AS ia, (SELECT count(*) FROM z WHERE dst = node AND y > 0) AS ib FROM nodes), dc AS (SELECT CASE WHEN stddev_pop(oa) * stddev_pop(ob) > 0 THEN covar_pop(oa, ob) / nullif(stddev_pop(oa) * stddev_pop(ob), 0) ELSE 0 END AS oc, CASE WHEN stddev_pop(ia) * stddev_pop(ib) > 0 THEN covar_pop(ia, ib) / nullif(stddev_pop(ia) * stddev_pop(ib), 0) ELSE 0 END AS ic FROM de)"
+ENDS = ", de AS (SELECT node, (SELECT sum(x) FROM z WHERE src = node) AS oa, (SELECT sum(y) FROM z WHERE src = node) AS ob, (SELECT sum(x) FROM z WHERE dst = node) AS ia, (SELECT sum(y) FROM z WHERE dst = node) AS ib FROM nodes), dc AS (SELECT CASE WHEN stddev_pop(oa) * stddev_pop(ob) > 0 THEN covar_pop(oa, ob) / nullif(stddev_pop(oa) * stddev_pop(ob), 0) ELSE 0 END AS oc, CASE WHEN stddev_pop(ia) * stddev_pop(ib) > 0 THEN covar_pop(ia, ib) / nullif(stddev_pop(ia) * stddev_pop(ib), 0) ELSE 0 END AS ic FROM de)"
 add(
     "compare_matrices", lambda b: metrics.compare(b.graph, b.cos.where("w > 0.5"), b.nodes),
-    SIDES + COUNTS + ENDS + f"SELECT ea AS edges_a, eb AS edges_b, c AS common_edges, {r('l1', 'l1_weighted')}, {r('l1 / n', 'l1_weighted_per_node')}, {r('lb', 'l1_binary')}, {r('lb / n', 'l1_binary_per_node')}, {r('fro', 'frobenius')}, {r('c / o', 'jaccard')}, {r('c / eb', 'precision')}, {r('c / ea', 'recall')}, {r('2.0 * c / (ea + eb)', 'f1')}, {r('cs', 'cosine')}, {r('pr', 'pearson')}, {r('oc', 'out_degree_corr')}, {r('ic', 'in_degree_corr')} FROM s, dc".replace("c / o,", "c / o::DOUBLE,").replace("round(lb,", "round(lb::DOUBLE,"),
+    SIDES + COUNTS + ENDS + f"SELECT n AS num_nodes, {r('ea / n::DOUBLE', 'avg_degree_a')}, {r('eb / n::DOUBLE', 'avg_degree_b')}, abs(ea - eb) AS edge_difference, {r('c / o::DOUBLE', 'overlap')}, ea AS edges_a, eb AS edges_b, c AS common_edges, {r('l1', 'l1_weighted')}, {r('l1 / n', 'l1_weighted_per_node')}, {r('lb', 'l1_binary')}, {r('lb / n', 'l1_binary_per_node')}, {r('fro', 'frobenius')}, {r('c / o', 'jaccard')}, {r('c / eb', 'precision')}, {r('c / ea', 'recall')}, {r('2.0 * c / (ea + eb)', 'f1')}, {r('cs', 'cosine')}, {r('pr', 'pearson')}, {r('oc', 'out_degree_corr')}, {r('ic', 'in_degree_corr')} FROM s, dc".replace("c / o,", "c / o::DOUBLE,").replace("round(lb,", "round(lb::DOUBLE,"),
 )
 add("compare_spectra", lambda b: metrics.compare_spectra(adjacency.symmetrize(b.graph), b.cos, b.nodes))
 add("plot_difference", lambda b: metrics.difference(b.sim, b.graph), edges_sql(GRAPH, "SELECT src, dst, sum(w) AS w FROM (SELECT * FROM sim UNION ALL SELECT src, dst, -w FROM graph) GROUP BY 1, 2"))
@@ -377,7 +377,7 @@ ROWS = 'SELECT "window", node, step, ' + r("y_true", digits=4) + ", " + r("y_pre
 add("forecast_eval_single_node", lambda b: forecasting.evaluate(b.panel, "single_node", forecasting.last_value, 12, 6), f"WITH {PANEL}, {SPLIT}, {LAST} {ROWS}", 4)
 add("forecast_eval_whole_matrix", lambda b: forecasting.evaluate(b.panel, "whole_matrix", forecasting.window_mean, 12, 6), f"WITH {PANEL}, {SPLIT}, {MEAN} {ROWS}", 4)
 add("forecast_eval_adj_neighbour", lambda b: forecasting.evaluate(b.panel, "adj_neighbour", forecasting.last_value, 12, 6, edges=b.graph), f"WITH {PANEL}, {SPLIT}, {LAST} {ROWS}", 4)
-add("forecast_eval_node_batches", lambda b: forecasting.evaluate(b.panel, "node_batches", forecasting.window_mean, 12, 6, batches=batchers.FixedSize(4).batch(b.panel, b.nodes).where("node < 20")), f"WITH {PANEL}, {SPLIT}, {MEAN.replace('c.value AS y_pred', 'CASE WHEN p.node < 20 THEN c.value ELSE 0.0 END AS y_pred')} {ROWS}", 4)
+add("forecast_eval_node_batches", lambda b: forecasting.evaluate(b.panel, "node_batches", forecasting.window_mean, 12, 6, batches=batchers.FixedSize(4).batch(b.panel, b.nodes)), f"WITH {PANEL}, {SPLIT}, {MEAN} {ROWS}", 4)
 ERR = ", ".join([r("avg(abs(y_true - y_pred))", "mae", 1), r("avg((y_true - y_pred) * (y_true - y_pred))", "mse", 0), r("sqrt(avg((y_true - y_pred) * (y_true - y_pred)))", "rmse", 1), r("avg(abs(y_true - y_pred) / greatest(y_true, 1) * 100)", "mape", 1)])
 
 
