@@ -3,12 +3,12 @@
 Sources share the total of all sizes by weight, none above ``most`` times its own size. Each
 source deals its documents in a shuffled order, over and over, up to ``most`` times; a copy's virtual
 finish time is the source's words up to its end, divided by the source's target. The copies of all
-sources, sorted by that time, are taken until the budget (the total of all sizes) is spent.
+sources, globally sorted by that time, are taken until the budget (the total of all sizes) is spent.
 
 No source and no budget goes through one task: order and running sums are kept in two levels. The
-shuffle order is a hash; its leading bits make slices, sums per source and slice are added up
-first, and then the rows of each slice. The budget's end is found in the same way over slices of the
-virtual time; the copies are then compared with that one number.
+shuffle order is a hash; its remainder makes slices, sums per source and slice are added up
+first, and then the rows of each slice. The sorted copies are ranges, whose sums are added up first
+too. Slices and ranges are as many as their rows call for. Texts are read once, for their sizes.
 """
 
 from __future__ import annotations
@@ -52,70 +52,83 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
     return per.select("source", "source_size", "weight", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, slices: int = 1024, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 17, keep: list[str] | None = None) -> DataFrame:
     """All rows of ``docs`` with ``size, source_size, target, taken``; taken is size times the copies
     that the mix has of the row.
 
     A null text has size 0 and is never taken; null is a source of its own. Rows repeated in full
     are rows of their own, in any order among themselves. Only ``doc_id, source, text`` are read;
-    columns of ``docs`` that bear one of the four
-    names (or the names with an underscore that are used on the way) are replaced. An empty table gives an empty
+    ``keep`` names the columns of ``docs`` to return (all, by default), of which those that bear one of
+    the four names are replaced; other names do no harm. An empty table gives an empty
     table. The order depends on ``doc_id``, ``text`` and ``seed`` alone, so reruns agree.
 
-    Each source takes whole copies while those before stay below its target, so it comes within one
-    document of it, and the budget cuts the last of these off.
+    Each source takes whole copies while those before stay below its target, and the budget cuts the
+    last of these off; in what a source then lacks the largest copy that fits is put, twice.
     """
-    docs = docs.drop("size", "source_size", "target", "taken", "_order", "_slice", "_cum", "_times")
-    order = F.xxhash64(F.lit(seed), "doc_id", "text")
-    rows = docs.withColumns({"size": word_count(), "_order": order}).withColumn("_slice", F.pmod("_order", F.lit(slices)).cast("int"))
-    per_slice = store(rows.groupBy("source", "_slice").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "slices")
-    targets = source_targets(per_slice, weights, most)
-    # words of the source before each slice: one row per source, one entry per slice
-    earlier = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    entries = per_slice.withColumn("start", F.coalesce(F.sum("size").over(earlier), F.lit(0))).groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("_slice", "start"))).alias("m"))
-    entries = entries.select(F.col("source").alias("_source"), F.transform(F.sequence(F.lit(0), F.lit(slices - 1)), lambda i: F.col("m")[i]).alias("_starts"))
-    known = store(targets.join(entries, F.col("source").eqNullSafe(F.col("_source"))).select("_source", "_starts", "source_size", "target"), "sources")
-
-    def placed(x: DataFrame) -> DataFrame:
-        """``_times``: the virtual finish times of the copies that begin below the target."""
-        within = Window.partitionBy("source", "_slice").orderBy("_order", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        x = x.withColumn("_cum", F.sum("size").over(within)).join(known, F.col("source").eqNullSafe(F.col("_source")))
-        x = x.withColumn("_cum", (F.col("_cum") + F.get("_starts", F.col("_slice"))).cast("double"))
-        ends = F.array(*[F.col("_cum") + F.lit(p) * F.col("source_size") for p in range(most)])
-        begun = F.filter(ends, lambda e: (F.col("size") > 0) & (e - F.col("size") < F.col("target")))
-        return x.withColumn("_times", F.transform(begun, lambda e: e / F.col("target")))
-
-    end = _end_of_budget(placed(rows), per_slice, slices)
-    taken = F.size(F.filter("_times", lambda t: t <= F.lit(end))) * F.col("size")
-    return placed(rows).select(*docs.columns, "size", "source_size", "target", taken.cast("long").alias("taken"))
-
-
-def _end_of_budget(rows: DataFrame, per_slice: DataFrame, slices: int, few: int = 10_000) -> float:
-    """The latest virtual time up to which the copies' sizes sum to no more than the budget.
-
-    An interval of time that holds the end is cut into slices whose sums come to the driver (at
-    most ``slices`` + 1 rows), until it holds few copies; those are added up in order."""
-    left = per_slice.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    copies = store(rows.select("size", F.explode("_times").alias("time")), "times")
-    low, width, best = 0.0, 1.0 / slices, -1.0
-    while True:
-        part = F.least(F.floor((F.col("time") - F.lit(low)) / F.lit(width)), F.lit(slices))
-        found = sorted(copies.groupBy(part.alias("part")).agg(F.sum("size"), F.count("*"), F.min("time"), F.max("time")).collect())
-        for _, words, n, first, last in found:
-            if words > left:
-                break
-            left, best = left - words, max(best, last)
-        else:
-            return best
-        copies = copies.where(F.col("time").between(first, last))
-        if n <= few or first == last:
-            per_time = copies.groupBy("time").agg(F.sum("size").alias("size")).withColumn("upto", F.sum("size").over(Window.orderBy("time")))
-            return max(best, per_time.where(F.col("upto") <= left).agg(F.coalesce(F.max("time"), F.lit(-1.0))).first()[0])
-        low, width = first, (last - first) / slices
-
-
-def mixed(docs: DataFrame, **options) -> DataFrame:
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("size", "source_size", "target", "taken")]
+    return _mixed(docs, weights, most, seed, keep).select("row.*", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 17) -> DataFrame:
     """The rows that the mix takes, each as often as it takes it, with the columns of ``docs``."""
-    copies = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    out = mix(docs, **options).withColumn("_copies", copies).where("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return _mixed(docs, weights, most, seed, docs.columns).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+
+
+#: Rows of a slice of a source's order, and copies of a range of the queue, that one task adds up.
+SLICE = 100_000
+
+
+def _mixed(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int, keep: list[str]) -> DataFrame:
+    """``row`` (a struct of ``keep``), ``size, source_size, target, copies`` of every row."""
+    key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key")  # null is a source like another
+    order = F.xxhash64(F.lit(seed), "doc_id", "text").alias("order")
+    # texts are read once; ids are settled where they are written
+    rows = docs.select(F.struct(*keep).alias("row"), key, F.col("source").alias("source"), F.col("doc_id").alias("doc"), word_count().alias("size"), order, F.monotonically_increasing_id().alias("id"))
+    rows = store(rows, "sized")
+    narrow = rows.select("id", "key", "source", "doc", "size", "order")
+    n, budget = narrow.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    slices = max(1, -(-n // SLICE))
+    narrow = narrow.withColumn("slice", F.pmod("order", F.lit(slices)))
+    per_slice = store(narrow.groupBy("key", "source", "slice").agg(F.sum("size").alias("size")), "slices")
+    targets = store(source_targets(per_slice, weights, most).withColumn("key", key).drop("source", "weight"), "targets")
+    # words of the source before each slice: a row per source and slice
+    earlier = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_slice.select("key", "slice", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start")).join(targets, "key")
+    within = Window.partitionBy("key", "slice").orderBy("order", "doc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = narrow.where("size > 0").withColumn("cum", F.sum("size").over(within)).join(starts, ["key", "slice"]).withColumn("cum", (F.col("cum") + F.col("start")).cast("double"))
+    # virtual finish times of the copies that begin below the target
+    ends = F.array(*[F.struct((F.col("cum") + F.lit(p) * F.col("source_size")).alias("end"), F.lit(p).alias("p")) for p in range(most)])
+    begun = F.explode(F.filter(ends, lambda e: e["end"] - F.col("size") < F.col("target"))).alias("e")
+    queue = placed.select("id", "key", "size", "order", "doc", "target", begun).select("id", "key", "size", "order", "doc", (F.col("e.end") / F.col("target")).alias("time"), F.col("e.p").alias("p"))
+    taken = _until(queue, budget, max(1, -(-n // SLICE))).groupBy("id").agg(F.count("*").alias("copies"))
+    counted = narrow.select("id", "key", "doc", "size", "order").join(taken, "id", "left").withColumn("copies", F.coalesce("copies", F.lit(0)))
+    counted = store(counted, "counted")
+    for _ in range(2):
+        counted = _filled(counted, targets, budget, most)
+    return rows.join(counted.select("id", "key", "copies"), ["id", "key"]).join(targets, "key").select("row", "size", "source_size", "target", "copies")
+
+
+def _until(queue: DataFrame, budget: int, parts: int) -> DataFrame:
+    """``id`` of the copies that come first in ``queue(time, order, doc, p, size)`` until their sizes
+    would exceed the budget: a global sort by ranges; sums of whole ranges, a row each, are added up first."""
+    by = ["time", "order", "doc", "p"]
+    ranged = store(queue.repartitionByRange(parts, *by).withColumn("part", F.spark_partition_id()), "queue")
+    sums = ranged.groupBy("part").agg(F.sum("size").alias("words"))
+    before = sums.select("part", F.coalesce(F.sum("words").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    upto = F.sum("size").over(Window.partitionBy("part").orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return ranged.withColumn("upto", upto).join(before, "part").where(F.col("upto") + F.col("before") <= budget).select("id")
+
+
+def _filled(counted: DataFrame, targets: DataFrame, budget: int, most: int) -> DataFrame:
+    """``counted(id, key, doc, size, order, copies)`` with one more copy, in each source that lacks
+    words, of the largest row that fits; sources that lack most of their target come first, until
+    the budget is spent."""
+    words = counted.groupBy("key").agg(F.sum(F.col("copies") * F.col("size")).alias("words"))
+    left = budget - words.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    gaps = store(words.join(targets, "key").select("key", "target", (F.col("target") - F.col("words")).alias("gap")).where("gap >= 1"), "gaps")
+    fits = counted.where((F.col("copies") < most) & (F.col("size") > 0)).join(gaps, "key").where("size <= gap")
+    best = fits.groupBy("key", "gap", "target").agg(F.max(F.struct("size", "order", "doc", "id")).alias("best"))
+    upto = F.sum("best.size").over(Window.orderBy(F.desc(F.col("gap") / F.col("target")), "key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    more = store(best.withColumn("upto", upto).where(F.col("upto") <= left).select(F.col("best.id").alias("id"), F.lit(1).alias("more")), "more")
+    out = counted.join(more, "id", "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0))).drop("more")
+    return out

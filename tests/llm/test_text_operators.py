@@ -283,26 +283,62 @@ def brute_targets(sizes, weights=(5, 2, 1), most=3):
 def test_mix_reaches_targets(spark):
     r = random.Random(3)
     rows = [(i, " ".join(["w"] * r.randint(0, 30)) if i % 17 else None, "en", r.choice(["a"] * 10 + ["b", "c", "é", None, "tiny"])) for i in range(900)]
-    rows += [(1000, "one", "en", "z"), (1000, "one", "en", "z"), (1001, "x " * 4000, "en", "huge")]
-    docs = documents(spark, rows)
-    got = mixing.mix(docs).collect()
+    rows += [(1000, "one", "en", "z"), (1000, "one", "en", "z"), (1001, "x " * 4000, "en", "huge"), (None, "no id", "en", "b"), (1002, "", "en", "void")]
+    docs = documents(spark, rows).withColumns({c: F.lit("mine") for c in ("_source", "_order", "_copies", "id", "row", "slice", "copies", "taken", "time")})
+    got = mixing.mix(docs.drop("taken")).collect()
     sizes, taken, target, largest = {}, {}, {}, {}
     for x in got:
         s = x["source"]
         sizes[s] = sizes.get(s, 0) + x["size"]
         taken[s] = taken.get(s, 0) + x["taken"]
         target[s], largest[s] = x["target"], max(largest.get(s, 0), x["size"])
-        assert x["taken"] in [k * x["size"] for k in range(4)] and x["size"] == len((x["text"] or "").split())
+        assert x["taken"] in [k * x["size"] for k in range(4)] and x["size"] == len((x["text"] or "").split()) and x["_order"] == x["row"] == "mine"
     want = brute_targets(sizes)
     assert len(got) == len(rows)
     for s in sizes:
         assert target[s] == pytest.approx(want[s]) and abs(taken[s] - target[s]) <= largest[s]
-    assert sum(taken.values()) <= sum(sizes.values())
+    # what is left is what the source of one long text lacks
+    assert sum(sizes.values()) - (target["huge"] - taken["huge"]) - 5 <= sum(taken.values()) <= sum(sizes.values())
     again = mixing.mix(docs.repartition(7)).select("doc_id", "taken").collect()
-    assert sorted((x["doc_id"], x["taken"]) for x in got) == sorted(map(tuple, again))
+    assert sorted((str(x["doc_id"]), x["taken"]) for x in got) == sorted((str(d), t) for d, t in again)
     out = mixing.mixed(docs)
     assert out.columns == docs.columns and out.count() == sum(x["taken"] // x["size"] for x in got if x["size"])
-    assert mixing.mix(empty(spark)).count() == 0
+    assert out.where("size <> 1 or _order <> 'mine' or taken <> 'mine'").count() == 0
+    assert mixing.mix(empty(spark)).count() == 0 and mixing.mixed(empty(spark)).count() == 0
+
+
+def test_mix_is_a_fair_queue(spark, monkeypatch):
+    """Against a sequential queue over the same shuffled order, with slices and ranges of few rows."""
+    monkeypatch.setattr(mixing, "SLICE", 20)
+    r = random.Random(8)
+    rows = [(i, " ".join(["w"] * r.randint(0, 9)), "en", r.choice(["a"] * 9 + ["b", None, "c"])) for i in range(300)]
+    docs = documents(spark, rows)
+    slices = -(-len(rows) // 20)
+    order = {x["doc_id"]: x["o"] for x in docs.select("doc_id", F.xxhash64(F.lit(17), "doc_id", "text").alias("o")).collect()}
+    sizes = {s: sum(len(t.split()) for _, t, _, own in rows if own == s) for s in {x[3] for x in rows}}
+    targets, queue = brute_targets(sizes), []
+    for s in sizes:
+        end = 0
+        for p in range(3):
+            for d, t in sorted(((d, t) for d, t, _, own in rows if own == s and t), key=lambda x: (order[x[0]] % slices, order[x[0]])):
+                end += len(t.split())
+                if end - len(t.split()) < targets[s]:
+                    queue.append((end / targets[s], order[d], d, p, s, len(t.split())))
+    left, copies, words = sum(sizes.values()), dict.fromkeys((x[0] for x in rows), 0), dict.fromkeys(sizes, 0)
+    for _, _, d, _, s, size in sorted(queue):
+        if size > left:
+            break
+        left, copies[d], words[s] = left - size, copies[d] + 1, words[s] + size
+    for _ in range(2):
+        for s in sorted(sizes, key=lambda s: (-(targets[s] - words[s]) / targets[s], "" if s is None else "=" + s)):
+            fit = [(len(t.split()), order[d], d) for d, t, _, own in rows if own == s and t and copies[d] < 3 and len(t.split()) <= targets[s] - words[s]]
+            if fit and targets[s] - words[s] >= 1:
+                size, _, d = max(fit)
+                if size > left:
+                    break
+                left, copies[d], words[s] = left - size, copies[d] + 1, words[s] + size
+    got = {x["doc_id"]: x["taken"] // max(1, x["size"]) for x in mixing.mix(docs).collect()}
+    assert got == copies
 
 
 def test_search_against_brute_force(spark):
