@@ -4,7 +4,9 @@ The automaton holds every run of tokens of every template. A file's tokens are s
 at each token it gives the longest run that ends there and stands in some template (the matching
 statistics). Runs that can't be extended and are long enough become anchors, each with its places
 in the templates; anchors of one template that follow each other in file and template, with small
-gaps, are chained into a span, and a span that covers enough of its template is a finding. Phrases
+gaps, are chained into a span, and a span that covers enough of its template is a finding. Enough is
+meant by tokens and by their weights, a token weighing the less the more labels have it; of a short
+template nearly all of the weight must be there, so that stop words alone are no finding. Phrases
 are templates that must match in full; where one ends is read from the same statistics.
 
 Tokens are runs of letters, digits and non-ASCII characters, A-Z lower-cased. The automaton is built
@@ -29,7 +31,7 @@ TEMPLATES = {
     "mit-text": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ),
-    "mit-notice": ("Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the terms of the MIT License"),
+    "mit-notice": ("Released under the MIT License", "Licensed under the MIT License", "Licensed under the terms of the MIT License"),
     "apache-2.0": (
         "Licensed under the Apache License, Version 2.0",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
@@ -126,18 +128,25 @@ class Span:
 class Scanner:
     """Finds phrases and template spans in a sequence of tokens."""
 
-    def __init__(self, templates=None, phrases=None, least: int = 3, gap: int = 12, coverage: float = 0.6):
+    def __init__(self, templates=None, phrases=None, least: int = 3, gap: int = 12, coverage: float = 0.6, short: int = 24, short_coverage: float = 0.85):
         templates, phrases = TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases
         self.least, self.gap, self.coverage = least, gap, coverage
+        self.short, self.short_coverage = short, short_coverage
         self.ids: dict[bytes, int] = {}
         self.automaton = Automaton()
-        self.labels, self.sizes = [], []
+        self.labels, self.sizes, self.weights = [], [], []
+        of_token: dict[bytes, set[str]] = {}
+        for label, texts in templates.items():
+            for w in {w for text in texts for w in tokens(text)}:
+                of_token.setdefault(w, set()).add(label)
         number = lambda w: self.ids.setdefault(w, len(self.ids) + 1)
         for label, texts in templates.items():
             for text in texts:
                 sequence = list(map(number, tokens(text)))
                 self.automaton.add(len(self.labels), sequence)
                 self.labels.append(label), self.sizes.append(len(sequence))
+                # weights of the template's first tokens, added up
+                self.weights.append(np.cumsum([0.0, *(1 / len(of_token[w]) ** 2 for w in tokens(text))]).tolist())
         ends = {}
         for phrase, label in phrases.items():
             sequence = list(map(number, tokens(phrase)))
@@ -194,21 +203,22 @@ class Scanner:
                     by_template.setdefault(number, []).append([i - run + 1, i + 1, end - run, end])
         spans = []
         for number, places in by_template.items():
-            size, chains = self.sizes[number], []
+            size, weight, chains = self.sizes[number], self.weights[number], []
             places.sort(key=lambda p: (p[1], p[3]))
             first = 0
             for start, end, t_start, t_end in places:
-                best = (end - start, start)
+                best = (end - start, start, weight[t_end] - weight[t_start])
                 while first < len(chains) and chains[first][0] < start - self.gap - size:
                     first += 1
-                for c_end, c_t_end, covered, c_start in chains[first:]:
+                for c_end, c_t_end, covered, c_start, c_weight in chains[first:]:
                     lap = max(0, c_end - start, c_t_end - t_start)
                     if start - c_end <= self.gap and 0 <= t_start - c_t_end + lap <= self.gap + lap and lap < end - start and t_end > c_t_end and end > c_end:
-                        best = max(best, (covered + end - start - lap, c_start))
+                        best = max(best, (covered + end - start - lap, c_start, c_weight + weight[t_end] - weight[t_start + lap]))
                 chains.append((end, t_end, *best))
             best_at: dict[int, tuple[int, int]] = {}
-            for e, _, c, s in chains:
-                if c >= self.coverage * size:
+            enough = (self.short_coverage if size <= self.short else self.coverage) * weight[-1]
+            for e, _, c, s, w in chains:
+                if c >= self.coverage * size and w >= enough - 1e-9:
                     best_at[s] = max(best_at.get(s, (0, 0)), (c, e))
             spans += [Span(self.labels[number], s, e, c, c / size) for s, (c, e) in best_at.items()]
         return sorted(spans, key=lambda x: (x.start, x.end, x.label))

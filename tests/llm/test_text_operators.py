@@ -167,6 +167,72 @@ def test_licence_scan_against_brute_force(spark):
     assert license.scan(empty(spark)).count() == 0
 
 
+def brute_spans(words, scanner, templates):
+    """Maximal common runs by comparing every pair of places, and every chain of them."""
+    out = []
+    for label, texts in templates.items():
+        share = lambda w: 1 / sum(any(w in license.tokens(t) for t in ts) for ts in templates.values()) ** 2
+        for text in texts:
+            t, runs = license.tokens(text), []
+            for i in range(len(words)):
+                for j in range(len(t)):
+                    n = 0
+                    while i + n < len(words) and j + n < len(t) and words[i + n] == t[j + n]:
+                        n += 1
+                    if n >= scanner.least and not (i and j and words[i - 1] == t[j - 1]):
+                        runs.append((i, j, n))
+
+            def chains(run):
+                i, j, n = run
+                yield n, i, set(range(j, j + n)), i + n
+                for before in runs:
+                    if before[0] + before[2] <= i and before[1] + before[2] <= j and i - before[0] - before[2] <= scanner.gap and j - before[1] - before[2] <= scanner.gap:
+                        for c, s, held, _ in chains(before):
+                            yield c + n, s, held | set(range(j, j + n)), i + n
+
+            total = sum(map(share, t))
+            for run in runs:
+                for c, s, held, e in chains(run):
+                    if c >= scanner.coverage * len(t) and sum(share(t[x]) for x in held) >= (scanner.short_coverage if len(t) <= scanner.short else scanner.coverage) * total - 1e-9:
+                        out.append((label, s, e, c / len(t)))
+    return out
+
+
+def test_licence_chains():
+    scanner = license.Scanner()
+    labels = lambda t: {s.label for s in scanner(license.tokens(t))[1]}
+    for text in ("licensed under the BSD License", "released under the title Blue", "This work is licensed under a Creative Commons licence", "under a Creative Commons licence", "this program is free software", "is licensed under the terms of the"):
+        assert labels(text) == set()
+    for label, texts in license.TEMPLATES.items():
+        assert all(label in labels("x y " + t + " z") for t in texts)
+    assert labels("The code is licensed under the terms of the MIT License.") == {"mit-notice"} and labels("Licensed under CC BY-SA 4.0") == {"cc-by-sa"}
+    # distinct tokens in every template: chains can be compared one by one
+    templates = {"a": (" ".join(f"a{i}" for i in range(30)),), "b": (" ".join(f"b{i}" for i in range(8)),)}
+    scanner, r = license.Scanner(templates, {}), random.Random(3)
+    for _ in range(200):
+        words = []
+        for _ in range(r.randint(1, 5)):
+            label, size = r.choice([("a", 30), ("b", 8)])
+            first = r.randrange(size - 3)
+            words += [f"{label}{i}".encode() for i in range(first, r.randint(first + 3, size))] + [b"x"] * r.choice([0, 1, 5, 20])
+        want, got = {}, {}
+        for label, _, _, c in brute_spans(words, scanner, templates):
+            want[label] = max(want.get(label, 0), c)
+        for x in scanner(words)[1]:
+            got[x.label] = max(got.get(x.label, 0), x.coverage)
+        # runs may overlap in the scanner, so it may cover more, but no more than the longest common subsequence
+        assert all(got.get(k, 0) >= c - 1e-9 for k, c in want.items())
+        for label, c in got.items():
+            t = license.tokens(templates[label][0])
+            row = [0] * (len(t) + 1)
+            for w in words:
+                now = [0]
+                for j, x in enumerate(t):
+                    now.append(row[j] + 1 if w == x else max(row[j + 1], now[j]))
+                row = now
+            assert c * len(t) <= row[-1] + 1e-9
+
+
 ODD = ["", None, " ", "\n\n x", "don't we'll I'M 's '", "a  b\t\nc ", "中文\U0001f600́ é²", "x" * 5000, "\x85　  z", "<|endoftext|> 12345 !!", "Ab" * 9 + "'re'd"]
 
 
