@@ -7,10 +7,12 @@ Spark's committer to any store.
 
 Reading. Files are cut at the magic ``WARC/1.0`` by Spark's text reader, which may split them anywhere.
 The magic may also stand inside a payload, so each piece is only a candidate record: its header
-says where its successor begins. Within a block of a file (what one task has read) candidates are
-linked to the first successor beyond the block; pointer jumping along these links from the start of
-each file, over log2(blocks) rounds, finds the true entry of every block; candidates that no chain
-from the start reaches are payload, and their bytes are given back to the record they stand in.
+says where its successor begins. A first pass emits, per block of a file (what one task has read),
+each candidate's offset and where the chain from it leaves the block; no body goes further. Pointer
+jumping along these links from the start of each file, over log2(blocks) rounds, finds the true
+entry of every block; candidates that no chain from the start reaches are payload. A second pass
+reads the files again and walks each block from its entry; only the record that crosses a block's end
+is shuffled, as one part per block, and put together.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ import base64
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ from .common import discard, record_batch, slices, store, work_path
 MAGIC = b"WARC/1.0\r\n"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Rows of a table of repeated payloads that is still broadcast.
+#: Rows of a table of repeated payloads, or of blocks, that is still broadcast.
 BROADCAST_ROWS = 50_000
 
 
@@ -57,12 +58,14 @@ def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return out.select("page_id", "url", "payload", "payload_bytes", "digest", F.when(F.col("page_id").isNull() | (F.col("owner") != F.col("page_id")), F.col("owner")).alias("refers_to"))
 
 
-def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", compression: str = "gzip") -> str:
+def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", compression: str = "none") -> str:
     """Writes one record per row of ``pages(page_id, url, html)`` below ``path`` and returns it.
 
     A null html is an empty payload; a null url gives no target; blanks and controls in a url are
-    percent-encoded; a null ``page_id`` is written as ``null``. Other columns play no part; an empty
-    table writes no record."""
+    percent-encoded; a null ``page_id`` is written as ``null``; rows that repeat a ``page_id`` have
+    one record id. Other columns play no part; an empty
+    table writes no record. Files are uncompressed, so that a large one is read by many tasks; with
+    ``compression='gzip'`` each is compressed as a whole, and read by one."""
     p = revisits(pages, least_bytes)
     text = lambda *parts: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in parts]).cast("binary")
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
@@ -105,89 +108,79 @@ def _span(piece: bytes) -> int | None:
     return len(MAGIC) + end + 8 + int(length) if "warc-type" in f and length.isascii() and length.isdigit() else None
 
 
-_PIECES = pa.schema([("file", pa.string()), ("block", pa.int64()), ("seq", pa.int64()), ("size", pa.int64()), ("span", pa.int64()), ("body", pa.binary())])
-
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, block, body``: what stands between magics, in order within a block (the place where the
+    task's part of the file begins)."""
+    lines = spark.read.option("lineSep", MAGIC.decode()).option("pathGlobFilter", "part-*").text(path)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("body"))
 
-def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """``file, block, seq, size, span, body``: what stands between magics, in order within a block."""
 
-    def run(batches):
-        at, seq = None, 0
-        for batch in slices(batches):
-            names, blocks, bodies = (c.to_pylist() for c in batch.columns)
-            seqs = []
-            for place in zip(names, blocks, strict=True):
-                at, seq = place, seq + 1 if place == at else 0
-                seqs.append(seq)
-            yield record_batch(_PIECES, file=names, block=blocks, seq=seqs, size=[len(b) for b in bodies], span=[_span(b) for b in bodies], body=bodies)
-
-    lines = spark.read.option("lineSep", MAGIC.decode()).option("pathGlobFilter", "part-*").text(path)
-    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("body"))
-    return lines.mapInArrow(run, "file string, block long, seq long, size long, span long, body binary")
-
-
-def _chained(pieces: pd.DataFrame) -> pd.DataFrame:
-    """Of one block: each piece's offset, successor, and the first place of its chain beyond the block."""
-    p = pieces.sort_values("seq")
-    ends = p["base"].iloc[0] + np.cumsum(p["size"].to_numpy() + len(MAGIC))
-    # a piece is preceded by its magic; the first of a file is what stands before any magic
-    offset = ends - p["size"].to_numpy() - 2 * len(MAGIC)
-    span = p["span"].to_numpy(dtype=float)
-    beyond, follow = {}, []
-    for o, s in zip(offset[::-1].tolist(), span[::-1].tolist(), strict=True):
-        if o < 0 or np.isnan(s):
-            follow.append(None)
-            continue
-        n = o + int(s)
-        beyond[o] = beyond.get(n, n if n > offset[-1] else None)
-        follow.append(n)
-    out = pd.DataFrame({"file": p["file"], "block": p["block"], "seq": p["seq"], "offset": offset, "next": pd.array(follow[::-1], "Int64")})
-    out["leaves"] = pd.array([beyond.get(o) for o in offset.tolist()], "Int64")
-    return out
+_CANDIDATE = pa.schema([("file", pa.string()), ("block", pa.int64()), ("at", pa.int64()), ("leaves", pa.int64()), ("bytes", pa.int64())])
 
 
-def _reached(pieces: pd.DataFrame) -> pd.DataFrame:
-    """Of one block: the record that each piece belongs to, as far as it begins in the block."""
-    p = pieces.sort_values("seq")
-    at, current, out = p["entry"].iloc[0], None, []
-    for o, n in zip(p["offset"].tolist(), p["next"].tolist(), strict=True):
-        if not pd.isna(at) and o == at:
-            current, at = o, n
-        out.append(current)
-    return pd.DataFrame({"file": p["file"], "block": p["block"], "seq": p["seq"], "offset": p["offset"], "record": pd.array(out, "Int64")})
+def _candidates(lines: DataFrame) -> DataFrame:
+    """``file, block, at, leaves, bytes``: per candidate its place in the block and the place, beyond the
+    block, to which its chain leads (null, if it breaks off before); per block a row with its bytes."""
 
+    def block_rows(place, sizes, spans):
+        # a piece is preceded by its magic; the first of a file is what stands before any magic
+        ends = np.cumsum(np.array(sizes, np.int64) + len(MAGIC))
+        at = (ends - np.array(sizes, np.int64) - len(MAGIC) - len(MAGIC)).tolist()
+        leaves: dict[int, int | None] = {}
+        for o, span in zip(reversed(at), reversed(spans), strict=True):
+            if span is not None:
+                # a place in the block that is no candidate breaks the chain
+                n = o + span
+                leaves[o] = n if n > at[-1] else leaves.get(n)
+        places = sorted(leaves)
+        for i in range(0, len(places), 20_000):
+            some = places[i : i + 20_000]
+            yield record_batch(_CANDIDATE, file=[place[0]] * len(some), block=[place[1]] * len(some), at=some, leaves=[leaves[o] for o in some], bytes=[None] * len(some))
+        yield record_batch(_CANDIDATE, file=[place[0]], block=[place[1]], at=[None], leaves=[None], bytes=[int(ends[-1])])
 
-def _membership(pieces: DataFrame) -> DataFrame:
-    """``file, block, seq, offset, record, pieces``: the verified record of each piece and its number
-    of pieces; pieces before a file's first record are absent."""
-    blocks = pieces.groupBy("file", "block").agg(F.sum(F.col("size") + len(MAGIC)).alias("bytes"))
+    def run(batches):
+        now, sizes, spans = None, [], []
+        for batch in slices(batches):
+            for f, b, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (f, b) != now:
+                    if now:
+                        yield from block_rows(now, sizes, spans)
+                    now, sizes, spans = (f, b), [], []
+                sizes.append(len(body)), spans.append(_span(body))
+        if now:
+            yield from block_rows(now, sizes, spans)
+
+    return lines.mapInArrow(run, "file string, block long, at long, leaves long, bytes long")
+
+
+def _entries(spark: SparkSession, path: str) -> DataFrame:
+    """``file, block, base, entry``: each block's place in its file, and the place in the block where the
+    first record of the file's chain begins (null, if none does)."""
+    found = store(_candidates(_lines(spark, path)), "candidates")
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    base = blocks.select("file", "block", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("base"))
-    linked = pieces.select("file", "block", "seq", "size", "span").join(base, ["file", "block"])
-    linked = store(linked.groupBy("file", "block").applyInPandas(_chained, "file string, block long, seq long, offset long, next long, leaves long"), "chain")
+    base = store(found.where("at is null").select("file", "block", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("base")), "blocks")
+    placed = found.where("at is not null").join(base, ["file", "block"]).select("file", "block", (F.col("base") + F.col("at")).alias("offset"), (F.col("base") + F.col("leaves")).alias("leaves"), "at")
+    placed = store(placed, "chain")
     # pointer jumping: after k rounds, the entries at most 2^k blocks from the start are known
-    jumps = linked.where("leaves is not null").select("file", "offset", "leaves")
-    entries = store(linked.where("offset = 0").select("file", "offset").distinct(), "entries")
+    jumps = placed.where("leaves is not null").select("file", "offset", "leaves")
+    entries = store(placed.where("offset = 0").select("file", "offset"), "entries")
     known = entries.count()
     while True:
-        more = entries.join(jumps, ["file", "offset"]).select("file", F.col("leaves").alias("offset")).join(linked.select("file", "offset"), ["file", "offset"], "left_semi")
+        more = entries.join(jumps, ["file", "offset"]).select("file", F.col("leaves").alias("offset"))
         after = store(entries.union(more).distinct(), "entries")
         discard(entries)
         entries, before = after, known
         if (known := entries.count()) == before:
             break
-        doubled = jumps.alias("x").join(jumps.select("file", F.col("offset").alias("leaves"), F.col("leaves").alias("then")), ["file", "leaves"], "left")
-        jumps = store(doubled.select("file", "offset", F.coalesce("then", "leaves").alias("leaves")), "jumps")
-    entry = linked.join(entries, ["file", "offset"], "left_semi").groupBy("file", "block").agg(F.min("offset").alias("entry"))
-    walked = linked.select("file", "block", "seq", "offset", "next").join(entry, ["file", "block"], "left")
-    walked = walked.groupBy("file", "block").applyInPandas(_reached, "file string, block long, seq long, offset long, record long")
-    walked = store(walked, "records")
-    # a block's first pieces may belong to a record of a block before
-    last = walked.groupBy("file", "block").agg(F.max("record").alias("last"))
-    carried = last.select("file", "block", F.max("last").over(earlier).alias("carried"))
-    whole = walked.join(carried, ["file", "block"]).select("file", "block", "seq", "offset", F.coalesce("record", "carried").alias("record")).where("record is not null")
-    count = whole.groupBy("file", "record").agg(F.count("*").alias("pieces"))
-    return whole.join(count, ["file", "record"])
+        doubled = jumps.join(jumps.select("file", F.col("offset").alias("leaves"), F.col("leaves").alias("then")), ["file", "leaves"], "left")
+        doubled = store(doubled.select("file", "offset", F.coalesce("then", "leaves").alias("leaves")), "jumps")
+        discard(jumps)
+        jumps = doubled
+    # places where a chain ends and no record begins are in no block's candidates
+    entry = placed.join(entries, ["file", "offset"], "left_semi").groupBy("file", "block").agg(F.min("at").alias("entry"))
+    out = store(base.join(entry, ["file", "block"], "left"), "block-entries")
+    discard(found, base, placed, entries, jumps)
+    return out
 
 
 _RECORD = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("record_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("declared_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
@@ -216,34 +209,85 @@ def _record(file: str, offset: int, body: bytes, with_payload: bool) -> tuple:
     return (file, offset, f["warc-type"], f.get("warc-record-id"), f.get("warc-target-uri"), f.get("warc-refers-to"), declared, size, digest, bytes(payload) if with_payload and payload is not None else None)
 
 
+_PART = _RECORD.append(pa.field("head", pa.bool_())).append(pa.field("part", pa.binary()))
+
+
+def _walk(batches, with_payload: bool):
+    """Records of blocks ``file, block, base, entry, body`` in order; of records that cross a block's
+    end the parts, with their place in ``offset`` and ``head`` where they begin the record."""
+    done, names = [], _PART.names
+    place = now = after = None  # the block, the record's place in the file, its successor's
+    at, held = 0, []  # the place of the next piece's magic; pieces of the record
+
+    def close(complete: bool):
+        if held and complete:
+            done.append((*_record(place[0], now, MAGIC.join(held), with_payload), None, None))
+        elif held:
+            done.append((place[0], now, *[None] * (len(_RECORD.names) - 2), after is not None, MAGIC.join(held)))
+
+    def flush():
+        out = record_batch(_PART, **dict(zip(names, map(list, zip(*done, strict=True)), strict=True)))
+        done.clear()
+        return out
+
+    for batch in slices(batches):
+        for f, b, base, entry, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (f, b) != place:
+                # only a record whose successor would begin right here ends with the block
+                close(after == at)
+                place, at, now, after, held = (f, b), base - len(MAGIC), base - len(MAGIC), None, []
+                first = None if entry is None else base + entry
+            if at == (after if after is not None else first):
+                close(after is not None)
+                now, held, span = at, [], _span(body)
+                if span is None:
+                    raise BrokenRecord(f"{f} at {at}: no record's header")
+                after = at + span
+            held.append(body)
+            at += len(MAGIC) + len(body)
+        if len(done) >= 500:
+            yield flush()
+    close(after == at)
+    if done:
+        yield flush()
+
+
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """All records of the archives below ``path``, found by boundary chains.
 
     ``payload`` is null for revisits (and unless ``with_payload``); the length and digest of a
     revisit's payload are those its header declares, those of a response are taken from the payload,
-    which must agree with the declared digest. Bytes that follow the end of a file's chain belong to
-    no record. No file gives no row."""
+    which must agree with the declared digest. A file that doesn't begin with a record has none; a chain
+    that ends at a magic without a header is a BrokenRecord. No file gives no row."""
+    entries = _entries(spark, path)
+    lines = _lines(spark, path)
+    if entries.count() <= BROADCAST_ROWS:
+        known = lines.join(F.broadcast(entries), ["file", "block"])
+    else:
+        known = lines.withColumn("seq", F.monotonically_increasing_id()).join(entries, ["file", "block"]).sortWithinPartitions("file", "block", "seq")
+    walked = known.select("file", "block", "base", "entry", "body").mapInArrow(lambda batches: _walk(batches, with_payload), _RECORD_DDL + ", head boolean, part binary")
+    walked = store(walked, "records")
 
     def run(batches):
         for batch in slices(batches):
             rows = [_record(f, o, b, with_payload) for f, o, b in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             yield record_batch(_RECORD, **dict(zip(_RECORD.names, map(list, zip(*rows, strict=True)), strict=True)))
 
-    pieces = store(_pieces(spark, path), "pieces")
-    of = store(_membership(pieces), "membership")
-    bodies = pieces.select("file", "block", "seq", "body").join(of, ["file", "block", "seq"])
-    single = bodies.where("pieces = 1").select("file", "record", "body")
-    parts = bodies.where("pieces > 1").groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("offset", "body"))).alias("parts"))
-    # the magics inside a payload were cut off with the pieces
-    joined = F.reduce("parts", F.lit(None).cast("binary"), lambda a, x: F.coalesce(F.concat(a, F.lit(MAGIC), x["body"]), x["body"]))
-    return single.union(parts.select("file", "record", joined.alias("body"))).mapInArrow(run, _RECORD_DDL)
+    # a record's parts: the head, and what the blocks after it have before their entries
+    upto = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    places = walked.where("part is not null").select("file", "offset", F.max(F.when(F.col("head"), F.col("offset"))).over(upto).alias("record"))
+    parts = walked.where("part is not null").select("file", "offset", "part").join(places.where("record is not null"), ["file", "offset"])
+    # the magics between parts were cut off with the pieces
+    joined = parts.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("offset", "part"))).alias("parts"))
+    body = F.reduce("parts", F.lit(None).cast("binary"), lambda a, x: F.coalesce(F.concat(a, F.lit(MAGIC), x["part"]), x["part"]))
+    return walked.where("part is null").drop("head", "part").union(joined.select("file", "record", body.alias("body")).mapInArrow(run, _RECORD_DDL))
 
 
 def page_records(pages: DataFrame, path: str | None = None, least_bytes: int = 0) -> DataFrame:
     """Writes ``pages`` as archives, reads them back and returns ``page_id, payload_bytes,
     payload_digest, record_type, refers_to, target_uri``; cases as in ``write_warc``."""
     spark = pages.sparkSession
-    path = write_warc(pages, path or work_path(spark, "warc"), least_bytes)
+    path = write_warc(pages, path or work_path(spark, "warc"), least_bytes)  # several tasks may read a file
     page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '<urn:page:(.*)>', 1) as long)")
     out = read_warc(spark, path, with_payload=False)
     return out.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"), "target_uri")

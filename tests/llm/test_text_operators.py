@@ -304,7 +304,7 @@ def test_added_tokens_are_what_the_library_gives():
     assert encoder.offsets("a<|endoftext|>") == [(0, 1), (1, 14)]
 
 
-def test_archives_reject_magic_inside_payloads(spark, tmp_path):
+def test_archives_reject_magic_inside_payloads(spark, tmp_path, monkeypatch):
     inner = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     pages = [(1, "http://a/ b\r\n", "x"), (5, None, "x"), (2, "u", None), (3, "u", ""), (4, "v", inner * 4), (6, "w", "WARC/1.0\r\n" * 50 + "é"), (7, "w", "tail WARC/1.0\r"), (None, "n", "x")]
     for i in range(10, 60):
@@ -313,9 +313,13 @@ def test_archives_reject_magic_inside_payloads(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
     spark.conf.set("spark.sql.files.openCostInBytes", "1")
     try:
-        where = warc.write_warc(df.coalesce(2), f"file://{tmp_path}/w", compression="none")
+        where = warc.write_warc(df.coalesce(2), f"file://{tmp_path}/w")
+        assert warc._entries(spark, where).count() > 20  # many blocks a file
         got = {r["record_id"]: r for r in warc.read_warc(spark, where).collect()}
-        small = warc.read_warc(spark, warc.write_warc(df, f"file://{tmp_path}/g", least_bytes=2)).where("record_type = 'revisit'").count()
+        monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+        again = {r["record_id"]: r for r in warc.read_warc(spark, where).collect()}
+        assert again == got and warc.page_records(df).count() == len(pages)
+        small = warc.read_warc(spark, warc.write_warc(df, f"file://{tmp_path}/g", least_bytes=2, compression="gzip")).where("record_type = 'revisit'").count()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
@@ -330,6 +334,10 @@ def test_archives_reject_magic_inside_payloads(spark, tmp_path):
         assert (row["record_type"], row["refers_to"]) == (("response", None) if largest[h or ""] == p else ("revisit", f"<urn:page:{largest[h or '']}>"))
         assert row["record_type"] == "revisit" or bytes(row["payload"]) == body
     out = warc.page_records(df)
+    with pytest.raises(Exception, match="no record's header"):
+        broken = spark.createDataFrame([("WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\nnothing\r\n",)], "value string")
+        broken.coalesce(1).write.option("lineSep", "\n").text(f"file://{tmp_path}/b")
+        warc.read_warc(spark, f"file://{tmp_path}/b").collect()
     assert out.count() == len(pages) and warc.page_records(df.limit(0)).count() == 0
 
 
