@@ -172,7 +172,8 @@ def _entries(spark: SparkSession, path: str) -> DataFrame:
         entries, before = after, known
         if (known := entries.count()) == before:
             break
-        doubled = jumps.join(jumps.select("file", F.col("offset").alias("leaves"), F.col("leaves").alias("then")), ["file", "leaves"], "left")
+        # as long as the archives: never broadcast
+        doubled = jumps.join(jumps.select("file", F.col("offset").alias("leaves"), F.col("leaves").alias("then")).hint("merge"), ["file", "leaves"], "left")
         doubled = store(doubled.select("file", "offset", F.coalesce("then", "leaves").alias("leaves")), "jumps")
         discard(jumps)
         jumps = doubled
