@@ -63,7 +63,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
     table. The order depends on ``doc_id``, ``text`` and ``seed`` alone, so reruns agree.
 
     Each source takes whole copies while those before stay below its target, and the budget cuts the
-    last of these off; in what a source then lacks the largest copy that fits is put, twice.
+    last of these off; in what a source then lacks the largest copy that fits is put.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("size", "source_size", "target", "taken")]
     return _mixed(docs, weights, most, seed, keep).select("row.*", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -102,9 +102,7 @@ def _mixed(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int, keep
     queue = placed.select("id", "key", "size", "order", "doc", "target", begun).select("id", "key", "size", "order", "doc", (F.col("e.end") / F.col("target")).alias("time"), F.col("e.p").alias("p"))
     taken = _until(queue, budget, max(1, -(-n // SLICE))).groupBy("id").agg(F.count("*").alias("copies"))
     counted = narrow.select("id", "key", "doc", "size", "order").join(taken, "id", "left").withColumn("copies", F.coalesce("copies", F.lit(0)))
-    counted = store(counted, "counted")
-    for _ in range(2):
-        counted = _filled(counted, targets, budget, most)
+    counted = _filled(store(counted, "counted"), targets, budget, most)
     return rows.join(counted.select("id", "key", "copies"), ["id", "key"]).join(targets, "key").select("row", "size", "source_size", "target", "copies")
 
 
@@ -130,5 +128,4 @@ def _filled(counted: DataFrame, targets: DataFrame, budget: int, most: int) -> D
     best = fits.groupBy("key", "gap", "target").agg(F.max(F.struct("size", "order", "doc", "id")).alias("best"))
     upto = F.sum("best.size").over(Window.orderBy(F.desc(F.col("gap") / F.col("target")), "key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     more = store(best.withColumn("upto", upto).where(F.col("upto") <= left).select(F.col("best.id").alias("id"), F.lit(1).alias("more")), "more")
-    out = counted.join(more, "id", "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0))).drop("more")
-    return out
+    return counted.join(more, "id", "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0))).drop("more")
