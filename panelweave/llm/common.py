@@ -91,7 +91,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHasher:
     """64-bit hashes of words, kept in a dictionary of bounded size."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 250_000):
         import xxhash
 
         self.limit, self.known, self.digest = limit, {}, xxhash.xxh3_64_intdigest

@@ -28,6 +28,10 @@ from pyspark.sql.types import DoubleType, StructType
 from .common import LOWER, fresh, record_batch, slices
 
 BITS = 18
+_hash = xxhash.xxh3_64_intdigest
+#: Seeds of the hashes of each kind of feature.
+WORD, STEM, MARKS = 1, 2, 3
+_WORDLIKE = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 _PUNCTUATION = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
 #: Places of the share features; hashed ones come after them.
 CAPITALS, REPEATED, DISTINCT, SHORT, SHARES = range(5)
@@ -36,20 +40,34 @@ STEMS = (3, 5)
 
 
 class Features:
-    """Places and values of a text's features."""
+    """Places and values of a text's features; of those of words only the ones that ``weights``, if
+    given, gives a weight."""
 
-    def __init__(self, bits: int = BITS, limit: int = 300_000):
+    def __init__(self, bits: int = BITS, limit: int = 150_000, weights: np.ndarray | None = None):
         self.size, self.limit, self.known = 1 << bits, limit, {}
-
-    def _of(self, word: bytes) -> tuple[list[int], int, bool]:
-        core = word.translate(None, _PUNCTUATION)
-        low = core.translate(LOWER)
-        letters = low.decode("utf-8", "replace")
+        self.used = None if weights is None else weights != 0
+
+    def _of(self, word: bytes) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
+        """Places whose value is the root of a share, and those whose value is a share; None if neither."""
+        size, used = self.size - SHARES, self.used
+        if word.isalpha():  # ASCII letters alone
+            low, upper, marks = word.lower(), len(word) > 1 and word.isupper(), b""
+            stems = [low[:n] for n in STEMS if len(low) > n]
+        else:
+            core = word.translate(None, _PUNCTUATION)
+            low, upper = core.translate(LOWER), len(core) > 1 and core.isupper()
+            marks = word.translate(LOWER).translate(None, _WORDLIKE)
+            letters = low.decode("utf-8", "replace")
+            stems = [letters[:n].encode() for n in STEMS if len(letters) > n]
         # the word itself and, of a longer word, its beginnings: stems that bear many endings
-        kinds = [(b"w", low), *((b"%d" % n, letters[:n].encode()) for n in STEMS if len(letters) > n)]
-        marks = word.translate(LOWER).translate(None, bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100)))
-        place = lambda kind, x: SHARES + xxhash.xxh3_64_intdigest(kind + x) % (self.size - SHARES) if x else -1
-        return [place(*x) for x in kinds if low], place(b"p", marks), len(core) > 1 and core.isupper()
+        roots = [SHARES + _hash(low, WORD) % size] if low else []
+        roots += [SHARES + _hash(x, STEM) % size for x in stems]
+        shares = [SHARES + _hash(marks, MARKS) % size] if marks else []
+        if upper:
+            shares.append(CAPITALS)
+        if used is not None:
+            roots, shares = [x for x in roots if used[x]], [x for x in shares if used[x]]
+        return (tuple(roots), tuple(shares)) if roots or shares else None
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         raw = (text or "").encode("utf-8", "surrogatepass").split()
@@ -58,19 +76,20 @@ class Features:
             return np.array([SHORT]), np.ones(1, np.float32)
         if len(known) > self.limit:
             known.clear()
-        words, marks, capitals = Counter(), Counter(), 0
         counts = Counter(raw)
+        for w in counts:
+            if w not in known:
+                known[w] = self._of(w)
+        roots: dict[int, int] = {}
+        shares: dict[int, int] = {}
         for w, c in counts.items():
-            if (f := known.get(w)) is None:
-                f = known[w] = self._of(w)
-            for place in f[0]:
-                words[place] += c
-            if f[1] >= 0:
-                marks[f[1]] += c
-            if f[2]:
-                capitals += c
-        values = {w: 3.0 * math.sqrt(c / n) for w, c in words.items()} | {m: 4.0 * c / n for m, c in marks.items()}
-        values |= {CAPITALS: 4.0 * capitals / n, REPEATED: 4.0 * sum(map(eq, raw, raw[1:])) / n, DISTINCT: len(counts) / n, SHORT: 1.0 / n}
+            if f := known[w]:
+                for place in f[0]:
+                    roots[place] = roots.get(place, 0) + c
+                for place in f[1]:
+                    shares[place] = shares.get(place, 0) + c
+        values = {w: 3.0 * math.sqrt(c / n) for w, c in roots.items()} | {m: 4.0 * c / n for m, c in shares.items()}
+        values |= {REPEATED: 4.0 * sum(map(eq, raw, raw[1:])) / n, DISTINCT: len(counts) / n, SHORT: 1.0 / n}
         return np.fromiter(values.keys(), np.int64, len(values)), np.fromiter(values.values(), np.float32, len(values))
 
 
@@ -230,7 +249,8 @@ def _scored(docs: DataFrame, model: OrdinalModel, *names: str) -> DataFrame:
         schema = schema.add(name, DoubleType())
 
     def run(batches):
-        features, model = Features(int(shared.value.weights.size).bit_length() - 1), shared.value
+        model = shared.value
+        features = Features(int(model.weights.size).bit_length() - 1, weights=model.weights)
         for batch in slices(batches):
             got = [model.score(*features(t)) if model.grades else (None, None) for t in batch.column(place).to_pylist()]
             more = [pa.array([g[i] for g in got], pa.float64()) for i in (0, 1)]
