@@ -27,6 +27,8 @@ from .common import record_batch, slices
 
 #: The pattern that GPT-2's published vocabulary is used with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The same, as it is also written.
+SHORT_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MAX_VOCABULARY = 64 << 20
 #: Bytes of text that a worker cuts into pieces at a time (a longer text is cut alone).
 PIECE_BYTES = 2 << 20
@@ -68,10 +70,14 @@ class Vocabulary:
     classes: bytes
 
     @classmethod
-    def from_ranks(cls, path: str) -> Vocabulary:
-        """A tiktoken rank file; classes as tiktoken's own pattern engine has them."""
+    def from_ranks(cls, path: str, pattern: str = PATTERN) -> Vocabulary:
+        """A tiktoken rank file; classes as tiktoken's own pattern engine has them. Another ``pattern``
+        than the one that ``cuts`` follows is refused."""
         import tiktoken
 
+        if pattern not in (PATTERN, SHORT_PATTERN):
+            raise ValueError(f"texts are not cut by {pattern}")
+
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, _file(path).splitlines())}
         chars = byte_characters()
         name = lambda b: "".join(chars[x] for x in b)
@@ -97,6 +103,8 @@ class Vocabulary:
             return "".join(x for x, _ in split.pre_tokenize_str(_every_character()))
 
         whole = json.loads(_file(path))
+        if not _plain(whole):
+            raise ValueError(f"{path} does not cut texts by the byte-level pattern alone")
         added = whole.get("added_tokens") or []
         if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
             raise ValueError(f"{path} has an added token that is not matched literally")
@@ -116,6 +124,13 @@ class Vocabulary:
         return out
 
 
+def _plain(whole: dict) -> bool:
+    """Whether a tokenizers JSON cuts texts as ``cuts`` does: the byte-level pattern, nothing before it."""
+    pre = whole.get("pre_tokenizer") or {}
+    byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+    return bool(byte_level) and not whole.get("normalizer")
+
+
 def _file(path: str) -> bytes:
     with open(path, "rb") as f:
         data = f.read(MAX_VOCABULARY + 1)
@@ -261,7 +276,7 @@ def _worker(value: Vocabulary, cache: dict = {}) -> Encoder:  # noqa: B006  one
 _ENCODED = pa.schema([("ids", pa.binary())])
 
 
-def with_ids(docs: DataFrame, vocabulary: Vocabulary, add: dict | None = None) -> DataFrame:
+def with_ids(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``docs`` (columns ``doc_id, text``) -> ``doc_id, n_tokens, ids, decoded`` with ids as
     ``array<int>`` and decoded as binary. Null and empty texts have no ids."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -300,7 +315,7 @@ def round_trip_digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def load_ranks(spark: SparkSession, path: str, cache: dict = {}) -> Vocabulary:  # noqa: B006  building merges takes a second
-    if path not in cache:
-        cache[path] = Vocabulary.from_ranks(path)
-    return cache[path]
+def load_ranks(path: str, pattern: str = PATTERN, cache: dict = {}) -> Vocabulary:  # noqa: B006  building merges takes a second
+    if (path, pattern) not in cache:
+        cache[path, pattern] = Vocabulary.from_ranks(path, pattern)
+    return cache[path, pattern]

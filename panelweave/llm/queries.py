@@ -51,7 +51,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents by the ranks file, and what they decode to."""
-    vocabulary = bpe.load_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    vocabulary = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), vocabulary)
 
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -245,7 +246,7 @@ def test_bpe_is_what_the_library_gives(spark):
     r = random.Random(0)
     texts = ODD + ["".join(r.choice(" \n'stredlmv19é中! ") for _ in range(r.randint(0, 30))) for _ in range(400)] + ["".join(chr(r.choice([r.randrange(0x3000), r.randrange(0xE000, 0x110000)])) for _ in range(20)) for _ in range(200)]
     docs = documents(spark, list(enumerate(texts)) + [(None, "x"), (0, "again")])
-    vocabulary = bpe.load_ranks(spark, path)
+    vocabulary = bpe.load_ranks(path, public_tokenizers.PATTERN)
     got = {r["doc_id"]: r for r in bpe.with_ids(docs.where("text is null or text <> 'again'"), vocabulary).collect()}
     for i, t in enumerate(texts):
         assert got[i]["ids"] == own.encode_ordinary(t or "") and bytes(got[i]["decoded"]) == (t or "").encode()
@@ -254,6 +255,8 @@ def test_bpe_is_what_the_library_gives(spark):
     assert row["ids_sha256"] == hashlib.sha256(np.array(own.encode_ordinary(texts[4]), "<u4").tobytes()).hexdigest()
     encoder = bpe.Encoder(vocabulary)
     assert "".join(texts[5][a:b] for a, b in encoder.offsets(texts[5])) == texts[5]
+    with pytest.raises(ValueError, match="not cut by"):
+        bpe.Vocabulary.from_ranks(path, r"\w+|\W+")
     # characters whose bytes are split over ids come back whole
     assert bpe.decode(np.array(own.encode_ordinary("\U0001f9ff"), np.uint32), vocabulary.tokens).decode() == "\U0001f9ff"
 
@@ -287,6 +290,10 @@ def test_token_files_round_trip(spark, tmp_path):
     with pytest.raises(recordfile.CorruptRecord):
         list(recordfile.frames(data[:-3]))
     assert recordfile.token_file_digests(empty(spark), vocabulary).count() == 0
+    other = json.loads(open(path).read()) | {"normalizer": {"type": "Lowercase"}}
+    (tmp_path / "other.json").write_text(json.dumps(other))
+    with pytest.raises(ValueError, match="pattern"):
+        bpe.Vocabulary.from_json(str(tmp_path / "other.json"))
 
 
 def test_added_tokens_are_what_the_library_gives():
@@ -403,14 +410,13 @@ def test_mix_is_a_fair_queue(spark, monkeypatch):
         if size > left:
             break
         left, copies[d], words[s] = left - size, copies[d] + 1, words[s] + size
-    for _ in range(2):
-        for s in sorted(sizes, key=lambda s: (-(targets[s] - words[s]) / targets[s], "" if s is None else "=" + s)):
-            fit = [(len(t.split()), order[d], d) for d, t, _, own in rows if own == s and t and copies[d] < 3 and len(t.split()) <= targets[s] - words[s]]
-            if fit and targets[s] - words[s] >= 1:
-                size, _, d = max(fit)
-                if size > left:
-                    break
-                left, copies[d], words[s] = left - size, copies[d] + 1, words[s] + size
+    for s in sorted(sizes, key=lambda s: (-(targets[s] - words[s]) / targets[s], "" if s is None else "=" + s)):
+        fit = [(len(t.split()), order[d], d) for d, t, _, own in rows if own == s and t and copies[d] < 3 and len(t.split()) <= targets[s] - words[s]]
+        if fit and targets[s] - words[s] >= 1:
+            size, _, d = max(fit)
+            if size > left:
+                break
+            left, copies[d] = left - size, copies[d] + 1
     got = {x["doc_id"]: x["taken"] // max(1, x["size"]) for x in mixing.mix(docs).collect()}
     assert got == copies
 
