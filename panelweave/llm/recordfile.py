@@ -1,6 +1,11 @@
 """Token ids as length-delimited binary records, with an offset index for shuffled reads.
 
-A file is a sequence of frames. A frame is, little-endian,
+``path/data`` holds the files, ``path/index`` an index of their records (Parquet, in their order): file,
+offset, length, document id, token count, checksum of the ids and how many ids stand before. It is made
+by reading the files once, so every checksum has been verified when it is there. ``read_at_offsets``
+reads any records by it, in any order, without touching the rest of a file.
+
+A data file is a sequence of frames. A frame is, little-endian,
 
     uint64 length of the payload
     uint32 masked CRC-32 of those eight bytes
@@ -26,11 +31,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import PIECE_BYTES, Vocabulary, _worker
-from .common import record_batch, slices, store, text_bytes, work_path
+from .common import discard, record_batch, slices, store, text_bytes, work_path
 
 #: Fixed values of the frame: the checksum's mask and the id that stands for a null document id.
 MASK = 0xA282EAD8
 NULL_ID = -(1 << 63)
+#: Files are about ``file_bytes`` large up to this number, and hold this many bytes of text at most (but for one text).
+MOST_FILES, LARGEST_FILE = 100_000, 512 << 20
 _HEAD, _U32, _PAYLOAD = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<qI")
 
 
@@ -73,16 +80,18 @@ def frames(data: bytes | memoryview):
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: Vocabulary, end_id: int | None = 2, file_bytes: int = 12 << 20) -> str:
-    """Writes every row of ``docs`` (``doc_id, text``) as a frame below ``path``; returns ``path``.
+    """Writes every row of ``docs`` (``doc_id, text``) as a frame below ``path/data``, then the index
+    below ``path/index``; returns ``path``.
 
-    The number of files follows from the bytes of text (about ``file_bytes`` of text each), so that
-    a file is read by one task. Ids take two bytes where the vocabulary allows it. Null and empty texts have ``end_id`` alone (none, if that is None);
+    The number of files follows from the bytes of text: about ``file_bytes`` of text each, up to
+    ``MOST_FILES`` files, then larger ones; a file is read by one task. Rows of one id are spread over files
+    by their texts. Ids take two bytes where the vocabulary allows it. Null and empty texts have ``end_id`` alone (none, if that is None);
     null ids come first; rows that repeat an id stand in the order of their texts; an empty table
     writes no record. Other columns play no part."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = docs.agg(F.sum(text_bytes()), F.count("*")).first()
-    files = max(1, -(-(total[0] or 0) // file_bytes), -(-total[1] // 200_000))
+    files = max(1, min(MOST_FILES, max(-(-(total[0] or 0) // file_bytes), -(-total[1] // 200_000))), -(-(total[0] or 0) // LARGEST_FILE))
     shared = spark.sparkContext.broadcast(vocabulary)
     narrow = max(len(vocabulary.tokens) - 1, end_id or 0) < 1 << 16
     tail = b"" if end_id is None else _U32.pack(end_id)
@@ -97,8 +106,13 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: Vocabulary, end_id
             out = [framed(d, x + tail) for d, x in zip(batch.column(0).to_pylist(), ids, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
 
-    ordered = docs.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    # an id that many rows bear is cut into ranges by the beginnings of its texts, whose order is the texts' own
+    start = F.coalesce(F.substring("text", 1, 64), F.lit(""))
+    ordered = docs.repartitionByRange(files, "doc_id", start).sortWithinPartitions("doc_id", "text")
+    ordered.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/data")
+    found = store(_scan(spark, path), "token-index")
+    with_starts(found).repartitionByRange(max(1, -(-total[1] // 1_000_000)), "file").sortWithinPartitions("file", "offset").write.parquet(f"{path}/index")
+    discard(found)
     return path
 
 
@@ -107,8 +121,13 @@ _READ_DDL = "file string, offset long, length long, doc_id long, n_tokens long,
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """Reads all files below ``path``, checks every checksum and returns the offset index:
-    ``file, offset, length`` (of the frame), ``doc_id, n_tokens, ids_crc32``."""
+    """The offset index of the files below ``path``: ``file, offset, length`` (of the frame), ``doc_id,
+    n_tokens, ids_crc32, start``."""
+    return spark.read.schema(_READ_DDL + ", start long").parquet(f"{path}/index")
+
+
+def _scan(spark: SparkSession, path: str) -> DataFrame:
+    """Reads all files below ``path``, checks every checksum and returns the index but for ``start``."""
 
     def run(batches):
         for batch in batches:
@@ -134,7 +153,26 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInArrow(run, "doc_id long, ids array<long>")
 
 
-def read_at(data: bytes, offset: int) -> tuple[int | None, np.ndarray]:
+def read_at_offsets(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """``file, offset, doc_id, ids array<long>`` of the records ``wanted(file, offset)``, such as a sample or
+    a shuffled part of the index; frames in between are skipped. A place wanted twice is read twice."""
+    schema = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for batch in batches:
+            for name, data, offsets in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                view = memoryview(data.as_buffer())
+                for i in range(0, len(offsets), 1000):
+                    some = offsets[i : i + 1000]
+                    got = [read_at(view, o) for o in some]
+                    yield record_batch(schema, file=[name] * len(some), offset=some, doc_id=[d for d, _ in got], ids=[x.astype(np.int64) for _, x in got])
+
+    # a file's records are no more than its bytes
+    places = wanted.groupBy("file").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
+    return _files(spark, path).join(places, "file").select("file", "content", "offsets").mapInArrow(run, "file string, offset long, doc_id long, ids array<long>")
+
+
+def read_at(data: bytes | memoryview, offset: int) -> tuple[int | None, np.ndarray]:
     """The record whose frame begins at ``offset`` of a file, as the index has it."""
     length, _ = _HEAD.unpack_from(data, offset)
     _, _, doc_id, ids = next(frames(memoryview(data)[offset : offset + 17 + length]))
@@ -142,7 +180,7 @@ def read_at(data: bytes, offset: int) -> tuple[int | None, np.ndarray]:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/data").select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "content")
 
 
 def with_starts(index: DataFrame) -> DataFrame:
@@ -157,9 +195,8 @@ def with_starts(index: DataFrame) -> DataFrame:
 
 def token_file_digests(docs: DataFrame, vocabulary: Vocabulary, path: str | None = None, end_id: int = 2) -> DataFrame:
     """Writes ``docs`` as token files (below ``path``, or the shared folder), reads them back and
-    returns ``doc_id, start, n_tokens, ids_crc32, file, offset``, one row per row of ``docs``; cases
-    as in ``write_token_files``."""
+    returns ``doc_id, start, n_tokens, ids_crc32, file, offset`` from the index of what was read, one row per
+    row of ``docs``; cases as in ``write_token_files``."""
     spark = docs.sparkSession
     path = write_token_files(docs, path or work_path(spark, "token-files"), vocabulary, end_id)
-    index = store(read_index(spark, path), "token-index")
-    return with_starts(index).select("doc_id", "start", "n_tokens", "ids_crc32", "file", "offset")
+    return read_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32", "file", "offset")

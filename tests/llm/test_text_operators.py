@@ -267,12 +267,13 @@ def test_token_files_round_trip(spark, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
     vocabulary = bpe.Vocabulary.from_json(path)
-    texts = [t for t in ODD if t is None or "endoftext" not in t] * 3
+    texts = ODD * 3
     rows = [(7 * (i % 20) - 30, t) for i, t in enumerate(texts)] + [(None, "no id")]
     docs = documents(spark, rows)
     where = f"file://{tmp_path}/files"
     recordfile.write_token_files(docs, where, vocabulary, 2, file_bytes=4000)
-    index = recordfile.with_starts(recordfile.read_index(spark, where)).collect()
+    index = recordfile.read_index(spark, where).collect()
+    assert len(list((tmp_path / "files" / "index").glob("*.parquet"))) >= 1 and len(list((tmp_path / "files" / "data").glob("part-*"))) > 3
     ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     start, want = 0, []
     for d, t in ordered:
@@ -281,7 +282,16 @@ def test_token_files_round_trip(spark, tmp_path):
         start += len(ids)
     assert sorted(((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in index), key=lambda r: r[1]) == want
     row = next(r for r in index if r["doc_id"] == want[5][0])
-    data = (tmp_path / "files" / row["file"]).read_bytes()
+    data = (tmp_path / "files" / "data" / row["file"]).read_bytes()
+    some = recordfile.read_index(spark, where).where("offset % 3 = 0").orderBy(F.rand(1))
+    got = {(x["file"], x["offset"]): (x["doc_id"], x["ids"]) for x in recordfile.read_at_offsets(spark, where, some.select("file", "offset")).collect()}
+    assert len(got) == some.count() > 5
+    for x in some.collect():
+        assert got[x["file"], x["offset"]][0] == x["doc_id"] and zlib.crc32(np.array(got[x["file"], x["offset"]][1], "<u4").tobytes()) == x["ids_crc32"]
+    assert recordfile.read_records(spark, where).count() == len(rows)
+    one = documents(spark, [(5, f"{i:03d} text") for i in range(400)])  # one id for all rows
+    recordfile.write_token_files(one, f"file://{tmp_path}/one", vocabulary, 2, file_bytes=500)
+    assert recordfile.read_index(spark, f"file://{tmp_path}/one").select("file").distinct().count() > 3
     assert recordfile.read_at(data, row["offset"])[0] == row["doc_id"]
     broken = bytearray(data)
     broken[row["offset"] + 20] ^= 1
