@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +36,32 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/panelweave/{label}-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch while work tables are written: texts and sets of thousands of rows at once fill a worker.
+BATCH_ROWS = 2000
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Lowers the rows of an Arrow batch to ``BATCH_ROWS`` for what is run inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if 0 < int(before) <= BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(key, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def store(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back: lineage ends there,
     and a lost executor costs no more than the tasks it ran."""
     spark = df.sparkSession
     path = work_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

@@ -45,6 +45,8 @@ from .components import connected_components
 _LONG = pa.int64()
 #: Members of a group of open buckets that are still compared bucket by bucket.
 PLAIN = 24
+#: Rows (of three numbers) of a table of wanted documents that is still broadcast.
+BROADCAST_ROWS = 300_000
 #: Classes of set sizes are powers of this.
 STEP = 1.05
 
@@ -147,9 +149,9 @@ def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
                     node.append(x), sets.append(s.tobytes())
             yield record_batch(_SET, node=node, s=sets)
 
-    # written first: by the size of its file it is broadcast or shuffled
+    # up to BROADCAST_ROWS wanted rows go to the texts; beyond, texts are shuffled to them
     nodes = store(nodes.withColumnRenamed("rep", "doc_id"), "wanted")
-    texts = docs.join(nodes, "doc_id").select("node", "fp1", "text")
+    texts = docs.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes, "doc_id").select("node", "fp1", "text")
     return texts.mapInArrow(run, "node long, s binary").groupBy("node").agg(F.first("s").alias("s"))
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import PIECE_BYTES, Vocabulary, _worker
-from .common import discard, record_batch, slices, store, text_bytes, work_path
+from .common import discard, record_batch, slices, small_batches, store, text_bytes, work_path
 
 #: Fixed values of the frame: the checksum's mask and the id that stands for a null document id.
 MASK = 0xA282EAD8
@@ -109,7 +109,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: Vocabulary, end_id
     # an id that many rows bear is cut into ranges by the beginnings of its texts, whose order is the texts' own
     start = F.coalesce(F.substring("text", 1, 64), F.lit(""))
     ordered = docs.repartitionByRange(files, "doc_id", start).sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/data")
+    with small_batches(spark):
+        ordered.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/data")
     found = store(_scan(spark, path), "token-index")
     with_starts(found).repartitionByRange(max(1, -(-total[1] // 1_000_000)), "file").sortWithinPartitions("file", "offset").write.parquet(f"{path}/index")
     discard(found)
