@@ -10,6 +10,7 @@ Columns beyond these are ignored. Nodes are INT, weights DOUBLE.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -61,14 +62,47 @@ def magnitude(edges: DataFrame) -> DataFrame:
 
 def pairs(packed: DataFrame, ordered: bool = False, same: bool = False) -> DataFrame:
     """``src, dst, x, y`` for all pairs of packed series: i < j, or i <= j (``same``), or all i <> j
-    (``ordered``). A pairwise similarity has N^2 cells, and so has this join; each row of it is worked
-    on where it is made and nothing but the similarity is shuffled further."""
+    (``ordered``). A pairwise similarity has N^2 cells, and so has this join; for short vectors."""
     a = packed.select(F.col("node").alias("src"), F.col("xs").alias("x"))
     b = packed.select(F.col("node").alias("dst"), F.col("xs").alias("y"))
     on = F.col("src") != F.col("dst") if ordered else (F.col("src") <= F.col("dst") if same else F.col("src") < F.col("dst"))
     return a.join(b, on)
 
 
+#: Series of a block; two blocks meet in a task.
+BLOCK = 64
+
+
+def block_pairs(packed: DataFrame, kernel: Callable[[np.ndarray, list[np.ndarray], np.ndarray, list[np.ndarray]], pd.DataFrame], schema: str, by: list[str] = [], block: int = BLOCK) -> DataFrame:  # noqa: B006
+    """Runs ``kernel(nodes, series, other nodes, other series)`` for every pair of blocks of packed series.
+
+    Nodes are dealt to blocks of about ``block`` (fewer, if there are few nodes, so that all cores have
+    pairs to work on); each series is shuffled once per block, so N / ``block`` times, not N times. A block
+    meets itself with the same arguments on either side. With ``by``, rows of each value of those columns
+    are paired among themselves. Kernels get nodes in ascending order and see each unordered pair of nodes
+    once, but within a block, where they see both orders and each node with itself."""
+    count = packed.agg(F.count_distinct("node")).first()[0]
+    cores = packed.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, min(count, max(-(-count // block), math.isqrt(8 * cores))))
+    own = packed.withColumn("block", F.pmod(F.col("node"), F.lit(blocks)))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select(*by, F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "xs")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, q = pdf["p"].iloc[0], pdf["q"].iloc[0]
+        pdf = pdf.sort_values("node", kind="stable")
+        sides = []
+        for side in (p, q):
+            rows = pdf[pdf["block"] == side]
+            sides += [rows["node"].to_numpy(), [np.asarray(x, float) for x in rows["xs"]]]
+        out = kernel(*sides)
+        for name in by:
+            out[name] = pdf[name].iloc[0]
+        return out
+
+    return dealt.groupBy(*by, "p", "q").applyInPandas(run, schema)
+
+
 def single_task(edges: DataFrame, nodes: DataFrame | None, kernel: Callable[[np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
     """Runs ``kernel(matrix, node_ids)`` over the dense matrix, in one task.
 
