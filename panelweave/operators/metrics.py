@@ -163,14 +163,14 @@ def is_connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(seen, "node", "left").agg(F.coalesce(F.min(F.coalesce(F.col("label") + 1, F.lit(0))), F.lit(1)).alias("s")).select((F.col("s") == 1).alias("connected"))
 
 
-def graph_metrics(edges: DataFrame, nodes: DataFrame, directed: bool = True) -> DataFrame:
-    """All metrics of a graph in one row."""
+def graph_metrics(edges: DataFrame, nodes: DataFrame, directed: bool = True, spectral: bool = True) -> DataFrame:
+    """All metrics of a graph in one row; those of spectra, which take a dense matrix, unless ``spectral`` is false."""
     parts = components(edges, nodes).agg(F.count_distinct("component").alias("weak_components"))
     own = (strong_components(edges, nodes).agg(F.count_distinct("component").alias("n_components")) if directed else parts.select(F.col("weak_components").alias("n_components"))).crossJoin(parts).select("n_components", (F.col("weak_components") <= 1).alias("is_connected"))
     out = degree_distribution(edges, nodes, directed)
     if not directed:
         out = out.drop("mean_in_degree", "mean_out_degree")
-    for more in [edge_statistics(edges, nodes, directed), clustering_coefficient(edges, nodes, directed), connectivity(edges, nodes), own, *([reciprocity(edges)] if directed else [])]:
+    for more in [edge_statistics(edges, nodes, directed), clustering_coefficient(edges, nodes, directed), *([connectivity(edges, nodes)] if spectral else []), own, *([reciprocity(edges)] if directed else [])]:
         out = out.crossJoin(more)
     return out
 

@@ -16,6 +16,7 @@ from ..functions import adjacency, panels
 from ..functions.normalize import NORMALIZERS
 from ..operators import batchers, forecasting, fusion, generators, metrics, sparsifiers
 from ..sources import datasets
+from . import recursive
 from .construct import MatrixConstruction, adjacency_from_generator, make_adjacency, make_hybrid_adjacency, top_k_adjacency
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,9 +153,10 @@ every AS (SELECT src, dst, w FROM mi UNION ALL SELECT dst, src, w FROM mi UNION
 SELECT {W} FROM every"""
 add("gen_mi_ksg", lambda b: generators.MutualInformation(3).generate(b.panel), MI)
 add("gen_mi_standard", lambda b: generators.MutualInformation(3, backend="standard").generate(b.hours))
-add("gen_partial_corr", lambda b: generators.PartialCorrelation().generate(b.hours))
-add("gen_dtw", lambda b: generators.DTW(window=8).generate(b.panel))
-add("gen_dtw_pruned", lambda b: generators.DTW(window=8, pruning_threshold=1e6).generate(b.panel))
+add("gen_partial_corr", lambda b: generators.PartialCorrelation().generate(b.hours), f"WITH {HOURS}, {recursive.partial_correlation(5)} SELECT {W} FROM out")
+SCALED = "/ 1e6 AS value"
+add("gen_dtw", lambda b: generators.DTW(window=8).generate(b.panel.withColumn("value", F.col("value") / 1e6)), f"WITH RECURSIVE {PANEL.replace('AS value', SCALED)}, {recursive.dtw(8)} SELECT {W} FROM out")
+add("gen_dtw_pruned", lambda b: generators.DTW(window=8, pruning_threshold=1.0).generate(b.panel.withColumn("value", F.col("value") / 1e6)), f"WITH RECURSIVE {PANEL.replace('AS value', SCALED)}, {recursive.dtw(8, 1.0)} SELECT {W} FROM out")
 add("gen_dtw_envelope", lambda b: generators.envelopes(b.panel, 8), f"WITH {PANEL} SELECT t, node, {r('max(value) OVER f', 'upper')}, {r('min(value) OVER f', 'lower')} FROM panel WINDOW f AS (PARTITION BY node ORDER BY t ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING)")
 add(
     "gen_dtw_lb_keogh",
@@ -164,7 +166,7 @@ add(
     SELECT src, dst, {r("sqrt(sum(o * o))", "w", 3)} FROM d GROUP BY 1, 2""",
     3,
 )
-add("gen_granger", lambda b: generators.Granger(2).generate(b.hours))
+add("gen_granger", lambda b: generators.Granger(2).generate(b.hours), f"WITH {HOURS}, {recursive.granger()} SELECT {W} FROM out")
 add("gen_embedding_cosine", lambda b: generators.CosineOfEmbeddings().generate(b.panel))
 add("gen_study_correlation", lambda b: generators.Pearson().generate(b.panel.where("node < 50")), f"WITH {SIM} SELECT {W} FROM sim WHERE src < 50 AND dst < 50")
 
@@ -206,7 +208,7 @@ mask("mask_top_k_row_budget", lambda b: sparsifiers.TopKRow(), 100, f"WITH {SIM}
 mask("mask_top_k_global", lambda b: sparsifiers.GlobalTopE(), 60, f"WITH {SIM} SELECT src, dst FROM (SELECT src, dst FROM sim WHERE src <> dst ORDER BY abs(round(w, 12)) DESC, src DESC, dst DESC LIMIT 60)")
 UNDIRECTED = "SELECT src, dst FROM t UNION ALL SELECT dst, src FROM t"
 mask("mask_top_k_global_undirected", lambda b: sparsifiers.GlobalTopE(directed=False), 30, f"WITH {SIM}, t AS (SELECT src, dst FROM sim WHERE src < dst ORDER BY abs(w) DESC, src DESC, dst DESC LIMIT 30) {UNDIRECTED}")
-mask("mask_greedy_degree", lambda b: sparsifiers.DegreeGreedy(directed=False), 40)
+mask("mask_greedy_degree", lambda b: sparsifiers.DegreeGreedy(directed=False), 40, f"WITH RECURSIVE {SIM}, {recursive.greedy_degree(40, 0.1)} SELECT src, dst FROM out")
 mask(
     "mask_threshold", lambda b: sparsifiers.ThresholdBudget(directed=False), 50,
     f"""WITH RECURSIVE {SIM}, u AS (SELECT src, dst, abs(w) AS w FROM sim WHERE src < dst),
@@ -229,8 +231,8 @@ mask(
 )
 mask("mask_resistance_sampling", lambda b: sparsifiers.ResistanceSampling(seed=1), 60)
 add("resistance_reweighted", lambda b: sparsifiers.ResistanceSampling(seed=1).sample(b.sim, b.nodes, 60))
-mask("mask_dhondt", lambda b: sparsifiers.DHondt(), 60)
-mask("mask_dhondt_top_edge", lambda b: sparsifiers.DHondt("top_edge"), 60)
+mask("mask_dhondt", lambda b: sparsifiers.DHondt(), 60, f"WITH RECURSIVE {SIM}, {recursive.dhondt(60, True)} SELECT src, dst FROM out")
+mask("mask_dhondt_top_edge", lambda b: sparsifiers.DHondt("top_edge"), 60, f"WITH RECURSIVE {SIM}, {recursive.dhondt(60, False)} SELECT src, dst FROM out")
 mask("mask_mutual_knn", lambda b: sparsifiers.MutualKnn(4), 0, f"WITH {SIM}, l AS ({TOP.format(k=4)}) SELECT a.src, a.dst FROM l a JOIN l b ON a.src = b.dst AND a.dst = b.src")
 mask("mask_pmfg", lambda b: sparsifiers.PMFG(), 0)
 mask("mask_neighbour_k", lambda b: sparsifiers.NeighbourK(transpose(b.graph)), 0, f"WITH {GRAPH}, k AS (SELECT dst AS src, count(*) AS k FROM graph GROUP BY 1) SELECT src, dst FROM ranked JOIN k USING (src) WHERE r <= k")
@@ -252,7 +254,8 @@ for key, body in NORM_SQL.items():
 L1 = "SELECT src, dst, w / sum(abs(w)) OVER (PARTITION BY src) AS w"
 add("flagship_adjacency", lambda b: adjacency_from_generator(generators.Pearson(), b.panel, 75, norm_method="row-l1"), edges_sql(SIM, f"{L1} FROM (SELECT src, dst, abs(w) AS w FROM sim JOIN ({TOP.format(k=3)}) USING (src, dst))"))
 add("construct_fill_diagonal", lambda b: make_adjacency(b.sim, 100, "top-k-row", "row-l1", fill_diag=True), edges_sql(SIM, f"{L1} FROM (SELECT src, dst, abs(w) AS w FROM sim JOIN ({TOP.format(k=3)}) USING (src, dst) UNION ALL SELECT node, node, 1.0 FROM nodes)"))
-add("construct_two_masks", lambda b: MatrixConstruction([sparsifiers.TopKRow(6), sparsifiers.MutualKnn(8)], [NORMALIZERS["row-minmax"](), NORMALIZERS["row-l1"]()]).run(b.sim, 0))
+add("construct_two_masks", lambda b: MatrixConstruction([sparsifiers.TopKRow(6), sparsifiers.MutualKnn(8)], [NORMALIZERS["row-minmax"](), NORMALIZERS["row-l1"]()]).run(b.sim, 0), edges_sql(SIM, f"""WITH l AS ({TOP.format(k=8)}), c AS (SELECT src, dst, abs(w) AS w FROM sim JOIN ({TOP.format(k=6)}) USING (src, dst) WHERE (src, dst) IN (SELECT (a.src, a.dst) FROM l a JOIN l b ON a.src = b.dst AND a.dst = b.src)),
+    m AS (SELECT src, dst, CASE WHEN max(w) OVER p - min(w) OVER p <= 1e-6 THEN w ELSE (w - min(w) OVER p) / nullif(max(w) OVER p - min(w) OVER p, 0) END AS w FROM c WINDOW p AS (PARTITION BY src)) {L1} FROM m"""))
 add("construct_no_mask", lambda b: MatrixConstruction(None, NORMALIZERS["row-l1"]()).run(b.sim, 0), edges_sql(SIM, f"{L1} FROM (SELECT src, dst, abs(w) AS w FROM sim)"))
 add("construct_hybrid", lambda b: make_hybrid_adjacency([b.sim, b.cos], 100, "max", norm_method="softmax"), f"WITH {SIM}{COS}, m AS (SELECT src, dst, greatest(sim.w, cosine.w) AS w FROM sim JOIN cosine USING (src, dst)), k AS (SELECT src, dst, abs(w) AS w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY abs(w) DESC, dst DESC) AS r FROM m WHERE src <> dst) WHERE r <= 4) SELECT src, dst, {r('exp(w) / sum(exp(w)) OVER ()', 'w')} FROM k")
 add("construct_top_k", lambda b: top_k_adjacency(b.sim, 4, "make-1"), edges_sql(SIM, f"SELECT src, dst, 1.0::DOUBLE AS w FROM ({TOP.format(k=4)})"))
@@ -295,14 +298,16 @@ add(
 
 # ------------------------------------------------------------------ batchers
 
-add("batch_k_hop", lambda b: batchers.KHop(1, 6).batch(b.graph, b.nodes))
+BATCH = "SELECT CAST(batch_id AS INTEGER) AS batch_id, CAST(pos AS INTEGER) AS pos, CAST(node AS INTEGER) AS node FROM out"
+add("batch_k_hop", lambda b: batchers.KHop(1, 6).batch(b.graph, b.nodes), f"WITH RECURSIVE {GRAPH}, {recursive.k_hop(6)} {BATCH}")
 LINKS = ", links AS (SELECT src, dst FROM graph UNION SELECT dst, src FROM graph)"
 add("batch_hops", lambda b: batchers.hops(b.graph, b.nodes, 2), f"WITH {GRAPH}{LINKS}, h AS (SELECT node AS seed, node, 0 AS hop FROM nodes UNION ALL SELECT src, dst, 1 FROM links UNION ALL SELECT a.src, b.dst, 2 FROM links a JOIN links b ON a.dst = b.src) SELECT seed, node, CAST(min(hop) AS INTEGER) AS hop FROM h GROUP BY 1, 2")
 for key, make in {
     "greedy_cluster": lambda: batchers.GreedyCluster(6), "louvain": batchers.Louvain, "complete_linkage": lambda: batchers.CompleteLinkage(4), "spectral": lambda: batchers.Spectral(4),
     "balanced": lambda: batchers.BalancedPartition(4), "degree_aware": lambda: batchers.DegreeAware(6, 0.1), "greedy_modularity": batchers.GreedyModularity,
 }.items():
-    add(f"batch_{key}", lambda b, make=make: make().batch(b.graph, b.nodes))
+    steps = {"greedy_cluster": recursive.greedy_cluster(6), "degree_aware": recursive.degree_aware(6, 0.1)}.get(key)
+    add(f"batch_{key}", lambda b, make=make: make().batch(b.graph, b.nodes), f"WITH RECURSIVE {GRAPH}, {steps} {BATCH}" if steps else None)
 SEEDS = f"{GRAPH}{LINKS}, ends AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM graph), dg AS (SELECT node, count(*) AS d FROM (SELECT a AS node FROM ends UNION ALL SELECT b FROM ends) GROUP BY 1), seeds AS (SELECT node, CAST(row_number() OVER (ORDER BY coalesce(d, 0) DESC, node DESC) - 1 AS INTEGER) AS batch_id FROM nodes LEFT JOIN dg USING (node)), few AS (SELECT * FROM seeds WHERE batch_id < greatest(1, CAST(floor((SELECT count(*) FROM nodes) * 0.2::DOUBLE) AS INTEGER))), inside AS (SELECT batch_id, node FROM few UNION SELECT batch_id, dst FROM few JOIN links ON src = node)"
 add("batch_overlapping", lambda b: batchers.Overlapping(0.2, 1).batch(b.graph, b.nodes), f"WITH {SEEDS}, every AS (SELECT * FROM inside UNION ALL SELECT (SELECT count(*) FROM few), node FROM nodes WHERE node NOT IN (SELECT node FROM inside)) SELECT CAST(batch_id AS INTEGER) AS batch_id, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY node) - 1 AS INTEGER) AS pos, node FROM every")
 add("batch_fixed", lambda b: batchers.FixedSize(4).batch(b.graph, b.nodes), f"WITH {PANEL} SELECT CAST(node // 4 AS INTEGER) AS batch_id, CAST(node % 4 AS INTEGER) AS pos, node FROM nodes")
@@ -330,6 +335,17 @@ add("metrics_spectra", lambda b: metrics.spectra(adjacency.symmetrize(b.graph),
 add("metrics_connectivity", lambda b: metrics.connectivity(adjacency.symmetrize(b.graph), b.nodes))
 add("metrics_all", lambda b: metrics.graph_metrics(b.graph, b.nodes))
 add("metrics_all_undirected", lambda b: metrics.graph_metrics(adjacency.symmetrize(b.graph), b.nodes, directed=False))
+PLAIN = ("edges", "density", "sparsity", "strength", "clustering_coefficient", "n_components", "is_connected", "reciprocity", "min_degree", "max_degree", "mean_degree")
+add(
+    "metrics_without_spectra", lambda b: metrics.graph_metrics(b.graph, b.nodes, spectral=False).select(*PLAIN),
+    f"""WITH {DEG}{REACH}, u0 AS (SELECT src, dst FROM bin UNION SELECT dst, src FROM bin UNION SELECT node, node FROM nodes), {", ".join(f"u{i} AS (SELECT DISTINCT a.src, b.dst FROM u{i - 1} a JOIN u{i - 1} b ON a.dst = b.src)" for i in range(1, 6))},
+    c AS (SELECT (SELECT count(*) FROM bin) AS e, (SELECT count(*) FROM nodes) AS n), s AS (SELECT a.src, min(a.dst) AS c FROM r5 a JOIN r5 b ON a.src = b.dst AND a.dst = b.src GROUP BY 1)
+    SELECT e AS edges, {r('e / (n * (n - 1.0::DOUBLE))', 'density')}, {r('1 - e / (n * n * 1.0::DOUBLE)', 'sparsity')}, {r('(SELECT avg(w) FROM graph WHERE w > 0)', 'strength')}, {r(f'{TRACE} / (n * (n - 1) * (n - 2.0::DOUBLE))', 'clustering_coefficient')},
+    (SELECT count(DISTINCT c) FROM s) AS n_components, (SELECT count(*) FROM u5) = n * n AS is_connected, {r('((SELECT count(*) FROM bin a JOIN bin b ON a.src = b.dst AND a.dst = b.src) // 2) / e::DOUBLE', 'reciprocity')}, (SELECT min(deg) FROM d) AS min_degree, (SELECT max(deg) FROM d) AS max_degree, {r('(SELECT avg(deg) FROM d)', 'mean_degree')} FROM c""",
+)
+add("panel_feature_slice", lambda b: panels.feature_slice(datasets.sinusoidal_panel(b.spark, 3, 50, 2, noise_level=0.0), 0), f"WITH g AS (SELECT CAST(t AS INTEGER) AS t, CAST(n AS INTEGER) AS node, t * 10.0::DOUBLE / 49 AS x FROM range(50) a(t), range(3) b(n)) SELECT t, node, {r('CASE WHEN node = 0 THEN sin(x) WHEN node = 1 THEN sin(x - 0.5) ELSE sin(x) * sin(x) END', 'value')} FROM g")
+add("forecast_average_neighbours", lambda b: b.spark.createDataFrame([(float(forecasting.average_neighbours(b.graph, b.nodes)),)], "average double"), f"WITH {GRAPH} SELECT {r('(SELECT count(*) FROM graph WHERE src <> dst AND w <> 0) / count(*) + 1.0::DOUBLE', 'average')} FROM nodes")
+add("panel_repair_zero_variance", lambda b: panels.repair_zero_variance(b.hours.withColumn("value", F.when(F.col("node") == 1, 5.0).otherwise(F.col("value")))).where("node <> 1 or value = 5 or abs(value - 5) > 1"), f"WITH {HOURS} SELECT t, node, {r('value')} FROM panel WHERE node <> 1")
 SIDES = f"WITH {GRAPH}{COS}, o AS (SELECT src, dst, CASE WHEN w > 0.5 THEN w ELSE 0 END AS w FROM cosine), z AS (SELECT n.node AS src, m.node AS dst, coalesce(a.w, 0) AS x, coalesce(o.w, 0) AS y FROM nodes n CROSS JOIN nodes m LEFT JOIN graph a ON a.src = n.node AND a.dst = m.node LEFT JOIN o ON o.src = n.node AND o.dst = m.node)"
 COUNTS = ", s AS (SELECT (SELECT count(*) FROM nodes) AS n, count(*) FILTER (x > 0) AS ea, count(*) FILTER (y > 0) AS eb, count(*) FILTER (x > 0 AND y > 0) AS c, count(*) FILTER (x > 0 OR y > 0) AS o, count(*) FILTER ((x > 0) <> (y > 0)) AS lb, sum(abs(x - y)) AS l1, sqrt(sum((x - y) * (x - y))) AS fro, sum(x * y) / sqrt(sum(x * x) * sum(y * y)) AS cs, corr(x, y) AS pr FROM z)"
 ENDS = ", de AS (SELECT node, (SELECT sum(x) FROM z WHERE src = node) AS oa, (SELECT sum(y) FROM z WHERE src = node) AS ob, (SELECT sum(x) FROM z WHERE dst = node) AS ia, (SELECT sum(y) FROM z WHERE dst = node) AS ib FROM nodes), dc AS (SELECT CASE WHEN stddev_pop(oa) * stddev_pop(ob) > 0 THEN covar_pop(oa, ob) / nullif(stddev_pop(oa) * stddev_pop(ob), 0) ELSE 0 END AS oc, CASE WHEN stddev_pop(ia) * stddev_pop(ib) > 0 THEN covar_pop(ia, ib) / nullif(stddev_pop(ia) * stddev_pop(ib), 0) ELSE 0 END AS ic FROM de)"
