@@ -51,6 +51,16 @@ def dense(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return grid.join(edges, ["src", "dst"], "left").select("src", "dst", F.coalesce("w", F.lit(0.0)).alias("w"))
 
 
+def check_nodes(edges: DataFrame, nodes: DataFrame) -> None:
+    """Raises ValueError if a cell's row or column is not in ``nodes``, or a column is missing."""
+    missing = {"src", "dst", "w"} - set(edges.columns)
+    if missing:
+        raise ValueError(f"a matrix needs src, dst and w; {', '.join(sorted(missing))} missing")
+    strange = nodes_of(edges).join(nodes.select("node"), "node", "left_anti").limit(5).collect()
+    if strange:
+        raise ValueError(f"cells of nodes that are not in the matrix: {[r['node'] for r in strange]}")
+
+
 def select_mask(edges: DataFrame, mask: DataFrame) -> DataFrame:
     """Cells of ``edges`` that ``mask`` chooses."""
     return edges.join(mask.select("src", "dst"), ["src", "dst"], "left_semi")
@@ -73,17 +83,17 @@ def pairs(packed: DataFrame, ordered: bool = False, same: bool = False) -> DataF
 BLOCK = 64
 
 
-def block_pairs(packed: DataFrame, kernel: Callable[[np.ndarray, list[np.ndarray], np.ndarray, list[np.ndarray]], pd.DataFrame], schema: str, by: list[str] = [], block: int = BLOCK) -> DataFrame:  # noqa: B006
+def block_pairs(packed: DataFrame, kernel: Callable[[np.ndarray, list[np.ndarray], np.ndarray, list[np.ndarray]], pd.DataFrame], schema: str, by: tuple[str, ...] = (), block: int | None = None) -> DataFrame:
     """Runs ``kernel(nodes, series, other nodes, other series)`` for every pair of blocks of packed series.
 
-    Nodes are dealt to blocks of about ``block`` (fewer, if there are few nodes, so that all cores have
+    Nodes are dealt to blocks of about ``block`` (``BLOCK``; fewer, if there are few nodes, so that all cores have
     pairs to work on); each series is shuffled once per block, so N / ``block`` times, not N times. A block
     meets itself with the same arguments on either side. With ``by``, rows of each value of those columns
     are paired among themselves. Kernels get nodes in ascending order and see each unordered pair of nodes
     once, but within a block, where they see both orders and each node with itself."""
     count = packed.agg(F.count_distinct("node")).first()[0]
     cores = packed.sparkSession.sparkContext.defaultParallelism
-    blocks = max(1, min(count, max(-(-count // block), math.isqrt(8 * cores))))
+    blocks = max(1, min(count, max(-(-count // (block or BLOCK)), math.isqrt(8 * cores))))
     own = packed.withColumn("block", F.pmod(F.col("node"), F.lit(blocks)))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     dealt = dealt.select(*by, F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "xs")
@@ -107,15 +117,19 @@ def single_task(edges: DataFrame, nodes: DataFrame | None, kernel: Callable[[np.
     """Runs ``kernel(matrix, node_ids)`` over the dense matrix, in one task.
 
     For steps that are sequential or dense linear algebra by nature. Raises beyond
-    ``KERNEL_NODES`` nodes, so that no task takes on an unbounded matrix."""
+    ``KERNEL_NODES`` nodes, so that no task takes on an unbounded matrix, and for a cell whose row or
+    column is not in ``nodes``."""
     tagged = edges.select(F.lit(0).alias("g"), "src", "dst", "w")
-    if nodes is not None:
+    checked = nodes is not None
+    if checked:
         tagged = tagged.union(nodes.select(F.lit(0), F.col("node"), F.col("node"), F.lit(None).cast("double")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(np.concatenate((pdf["src"], pdf["dst"])).astype(np.int64))
         if len(ids) > KERNEL_NODES:
             raise ValueError(f"{len(ids)} nodes; this operator takes {KERNEL_NODES} at most")
+        if checked and (strange := np.setdiff1d(ids, pdf.loc[pdf["w"].isna(), "src"])).size:
+            raise ValueError(f"cells of nodes that are not in the matrix: {strange[:5].tolist()}")
         matrix = np.zeros((len(ids), len(ids)))
         pdf = pdf[pdf["w"].notna()].sort_values(["src", "dst"])
         matrix[np.searchsorted(ids, pdf["src"]), np.searchsorted(ids, pdf["dst"])] = pdf["w"]

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core.frames import KERNEL_NODES, nodes_of, single_task
+from ..core.frames import KERNEL_NODES, check_nodes, nodes_of, single_task
 
 BATCHES = "batch_id int, pos int, node int"
 
@@ -67,6 +67,8 @@ class KHop(Batcher):
         self.k, self.most = k, max_batch_size
 
     def batch(self, edges, nodes=None):
+        if nodes is not None:
+            check_nodes(edges, nodes)
         nodes = nodes if nodes is not None else nodes_of(edges)
         most = self.most
 

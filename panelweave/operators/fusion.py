@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core.frames import cells, dense, nodes_of, single_task
+from ..core.frames import check_nodes, cells, dense, nodes_of, single_task
 
 
 def tagged(views: list[DataFrame]) -> DataFrame:
@@ -24,6 +24,8 @@ class Fuser(ABC):
     def fuse(self, views: list[DataFrame], nodes: DataFrame | None = None) -> DataFrame:
         if len(views) < 2:
             raise ValueError("at least two views are needed")
+        if nodes is not None:  # views are of one and the same set of nodes
+            check_nodes(tagged(views), nodes)
         return self._fuse(views, nodes if nodes is not None else reduce(DataFrame.union, map(nodes_of, views)).distinct())
 
     __call__ = lambda self, views, nodes=None: self.fuse(views, nodes)

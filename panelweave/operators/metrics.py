@@ -182,7 +182,7 @@ def compare(a: DataFrame, b: DataFrame, nodes: DataFrame) -> DataFrame:
     both = a.select("src", "dst", F.col("w").alias("x")).join(b.select("src", "dst", F.col("w").alias("y")), ["src", "dst"], "full").select("src", "dst", F.coalesce("x", F.lit(0.0)).alias("x"), F.coalesce("y", F.lit(0.0)).alias("y"))
     i = lambda c: F.sum(c.cast("double"))
     p, q, x, y = F.col("x") > 0, F.col("y") > 0, F.col("x"), F.col("y")
-    s = both.agg(i(p).alias("ea"), i(q).alias("eb"), i(p & q).alias("common"), i(p | q).alias("any"), F.sum(F.abs(x - y)).alias("l1"), i(p != q).alias("l1b"), F.sum((x - y) ** 2).alias("sq"), F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"), F.sum(x).alias("sx"), F.sum(y).alias("sy")).crossJoin(nodes.agg(F.count("*").cast("double").alias("n")))
+    s = both.agg(i(p).alias("ea"), i(q).alias("eb"), i(p & q).alias("common"), i(p | q).alias("any"), F.sum(F.abs(x - y)).alias("l1"), i(p != q).alias("l1b"), F.sum((x - y) ** 2).alias("sq"), F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"), F.sum(x).alias("sx"), F.sum(y).alias("sy")).fillna(0.0).crossJoin(nodes.agg(F.count("*").cast("double").alias("n")))
     c, n, m = F.col, F.col("n"), F.col("n") * F.col("n")
     corr = F.try_divide(c("xy") / m - c("sx") * c("sy") / (m * m), F.sqrt((c("xx") / m - (c("sx") / m) ** 2) * (c("yy") / m - (c("sy") / m) ** 2)))
     zero = lambda e: F.coalesce(e, F.lit(0.0))
