@@ -7,9 +7,10 @@ statistics (document count, mean length, frequencies of the queries' terms) come
 
 Queries go over all shards in blocks of bounded size: a block's distinct terms are broadcast, a task
 searches its shards one after the other and keeps each query's k best so far, whose last is the
-threshold. As in WAND, rare terms' lists drive the search and the frequent terms' lists are only
-bounded: a document block's bound is its best rare-term score plus the frequent terms' block maxima,
-and a block is scored only if its bound reaches the threshold. The test runs for all queries and
+threshold. Every list has its maximum per block of documents. A block whose maxima, added up over the
+query's lists, stay below the threshold is passed over; in the others the postings of rare terms are
+added up, and with the frequent terms' maxima that gives a closer bound; only a block that reaches the
+threshold still is scored in full. The tests run for all queries and
 blocks of a shard at once. Each shard's k best are merged by (score descending, id ascending).
 
 A term adds its BM25 weight rounded to a multiple of 2^-20, so sums are exact in any order, ties are
@@ -115,7 +116,12 @@ class Shard:
         self.maxima = self.dense.reshape(self.blocks, BLOCK, width).max(1)
         rare = ~dense
         self.docs, self.weight = docs[rare], weight[rare]
-        self.size = np.bincount(term[rare], minlength=len(q.terms))
+        # rare terms: a list of entries, one for each block of documents, with the block's maximum
+        place = term[rare] * self.blocks + self.docs // BLOCK
+        first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(place) else np.zeros(0, np.int64)
+        self.first, self.count = first, np.diff(np.append(first, len(place)))
+        self.block, self.most = place[first] % self.blocks, np.maximum.reduceat(self.weight, first) if len(first) else self.weight[:0]
+        self.size = np.bincount(place[first] // self.blocks, minlength=len(q.terms))
         self.start = np.cumsum(self.size) - self.size
         self.q = q
 
@@ -128,12 +134,21 @@ class Shard:
         column = q.frequent[term]
         wanted[owner[column >= 0], column[column >= 0]] = 1
         owner, term = owner[column < 0], term[column < 0]
+        # a block is looked into only if the maxima of all its lists reach the threshold
         size = self.size[term]
-        take = np.repeat(self.start[term] + size - np.cumsum(size), size) + np.arange(size.sum())
+        entry = np.repeat(self.start[term] + size - np.cumsum(size), size) + np.arange(size.sum())
+        owner = np.repeat(owner, size)
+        often = wanted @ self.maxima.T
+        limit = np.array([-b[-1][0] if len(b) >= k else 1.0 for b in best[first:last]])
+        alive = np.bincount(owner * self.blocks + self.block[entry], self.most[entry], n * self.blocks).reshape(n, self.blocks) + often >= limit[:, None]
+        # of those, rare terms' postings are added up; frequent ones are still bounded by their maxima
+        keep = alive[owner, self.block[entry]]
+        entry, owner = entry[keep], owner[keep]
+        size = self.count[entry]
+        take = np.repeat(self.first[entry] + size - np.cumsum(size), size) + np.arange(size.sum())
         cells = self.blocks * BLOCK
         score = np.bincount(np.repeat(owner, size) * cells + self.docs[take], self.weight[take], n * cells).reshape(n, self.blocks, BLOCK)
-        bound = score.max(2) + wanted @ self.maxima.T
-        limit = np.array([-b[-1][0] if len(b) >= k else 1.0 for b in best[first:last]])
+        bound = np.where(alive, score.max(2) + often, 0.0)
         # the block with the best bound raises each query's threshold, then all that reach it follow
         done = np.zeros(bound.shape, bool)
         done[np.arange(n), bound.argmax(1)] = True
