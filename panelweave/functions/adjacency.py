@@ -131,7 +131,7 @@ def double_transition(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return both[0].union(both[1])
 
 
-#: Adjacency types by name; each takes (edges, nodes).
+#: Adjacency types by name (fixed values, as settings have them); each takes (edges, nodes).
 TRANSFORMS = {
     "original": lambda e, n: e,
     "scalap": scaled_laplacian,

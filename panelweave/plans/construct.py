@@ -66,7 +66,3 @@ def top_k_adjacency(matrix: DataFrame, k: int, normalize: str | None = None, str
 
     mask = NeighbourK(prior) if prior is not None else TopKRow(k)
     return MatrixConstruction(mask, NORMALIZERS[normalize](strength) if normalize else None).run(matrix, k)
-
-
-def signed(mask: Sparsifier, matrix: DataFrame, k: int) -> DataFrame:
-    return mask.apply(matrix, k).select("src", "dst", F.col("w"))

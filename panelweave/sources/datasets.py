@@ -15,6 +15,7 @@ from ..functions.adjacency import transform
 from ..functions.panels import gaussian, uniform
 from ..operators.batchers import as_json, from_json
 
+#: The fields of a dataset description, as existing desc.json files have them.
 DESCRIPTION = (
     "name string, domain string, shape array<int>, feature_description array<string>, `frequency (minutes)` double, has_graph boolean, "
     "regular_settings struct<INPUT_LEN:int,OUTPUT_LEN:int,TRAIN_VAL_TEST_RATIO:array<double>,NORM_EACH_CHANNEL:boolean,RESCALE:boolean,METRICS:array<string>,NULL_VAL:double>"
@@ -177,13 +178,16 @@ def load_batches(spark: SparkSession, path: str) -> DataFrame:
     return from_json(spark.read.text(path, wholetext=True).select(F.col("value").alias("json")))
 
 
+#: Names of modes and strategies in existing settings and result files.
 MODES = ("single_node", "whole_matrix", "adj_neighbour", "node_batches")
 STRATEGIES = ("absolute", "divided")
 
 
 @dataclass
 class ExperimentConfig:
-    """Settings of an evaluation; the defaults are those of a run without a file."""
+    """Settings of an evaluation; the defaults are those of a run without a file.
+
+    Fixed values: the names of the settings and their defaults, as existing files have them."""
 
     dataset: str = ""
     model: str = "last-value"
