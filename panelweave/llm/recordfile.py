@@ -112,7 +112,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: Vocabulary, end_id
     with small_batches(spark):
         ordered.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/data")
     found = store(_scan(spark, path), "token-index")
-    with_starts(found).repartitionByRange(max(1, -(-total[1] // 1_000_000)), "file").sortWithinPartitions("file", "offset").write.parquet(f"{path}/index")
+    with_starts(found).write.parquet(f"{path}/index")
     discard(found)
     return path
 
@@ -128,16 +128,21 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _scan(spark: SparkSession, path: str) -> DataFrame:
-    """Reads all files below ``path``, checks every checksum and returns the index but for ``start``."""
+    """Reads all files below ``path``, checks every checksum and returns the index with ``inside``, the ids
+    before a record in its file, instead of ``start``."""
+    schema = _READ.append(pa.field("inside", pa.int64()))
 
     def run(batches):
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = [(name, at, size, doc_id, len(ids), zlib.crc32(ids)) for at, size, doc_id, ids in frames(memoryview(data.as_buffer()))]
+                rows, inside = [], 0
+                for at, size, doc_id, ids in frames(memoryview(data.as_buffer())):
+                    rows.append((name, at, size, doc_id, len(ids), zlib.crc32(ids), inside))
+                    inside += len(ids)
                 for i in range(0, len(rows), 10_000):
-                    yield record_batch(_READ, **dict(zip(_READ.names, map(list, zip(*rows[i : i + 10_000], strict=True)), strict=True)))
+                    yield record_batch(schema, **dict(zip(schema.names, map(list, zip(*rows[i : i + 10_000], strict=True)), strict=True)))
 
-    return _files(spark, path).mapInArrow(run, _READ_DDL)
+    return _files(spark, path).mapInArrow(run, _READ_DDL + ", inside long")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -185,13 +190,12 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_starts(index: DataFrame) -> DataFrame:
-    """Adds ``start``: the ids of all records before, in the order of files and offsets. Sums of
-    whole files are added first (a row per file), then each file's own records."""
+    """``start`` in place of ``inside``: the ids of all records before, in the order of files and offsets.
+    Sums of whole files, a row each (``MOST_FILES`` or, of large ones, a few thousand a TB), are added up first."""
     per_file = index.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy(F.regexp_extract("file", r"part-(\d+)", 1).cast("long"), "file").rowsBetween(Window.unboundedPreceding, -1)
     per_file = per_file.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
-    return index.join(per_file, "file").withColumn("start", F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).drop("before")
+    return index.join(F.broadcast(per_file), "file").withColumn("start", F.col("before") + F.col("inside")).drop("before", "inside")
 
 
 def token_file_digests(docs: DataFrame, vocabulary: Vocabulary, path: str | None = None, end_id: int = 2) -> DataFrame:
