@@ -36,7 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of each document's ids and of the bytes they decode to."""
-    return bpe.round_trip_digests(docs, bpe.load_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    return bpe.round_trip_digests(docs, bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
 STAGES = [("quality", quality_filter), ("language", language_filter), ("near_dedup", near_dedup), ("mix", mix_sources), ("encode", encode)]
