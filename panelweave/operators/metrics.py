@@ -121,10 +121,14 @@ def _reached(start: DataFrame, links: DataFrame, most: int = 10_000) -> DataFram
     seen = front = _kept(start)
     for _ in range(most):
         found = front.join(links.withColumnRenamed("src", "node"), ["node", "label"]).select(F.col("dst").alias("node"), "label").distinct()
-        front = _kept(found.join(seen, ["node", "label"], "left_anti"))
-        if front.isEmpty():
+        new = _kept(found.join(seen, ["node", "label"], "left_anti"))
+        if new.isEmpty():
             return seen
-        seen = _kept(seen.union(front))
+        both = _kept(seen.union(new))
+        both.count()
+        seen.unpersist()
+        front.unpersist()
+        seen, front = both, new
     raise RuntimeError("paths did not end")
 
 
