@@ -224,13 +224,15 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = 8000, bits: int = B
         features = Features(bits)
         for batch in slices(batches):
             f = [features(t) for t in batch.column(2).to_pylist()]
-            yield record_batch(schema, doc_id=batch.column(0), grade=batch.column(1), at=[a.tobytes() for a, _ in f], x=[v.tobytes() for _, v in f])
+            yield record_batch(schema, doc_id=batch.column(0), grade=batch.column(1), at=[a.astype(np.int32).tobytes() for a, _ in f], x=[v.tobytes() for _, v in f])
 
     rated = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")
     rated = rated.groupBy("doc_id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     got = rated.mapInArrow(run, "doc_id long, grade int, at binary, x binary").toPandas().sort_values(["doc_id", "at"])
-    rows = [(np.frombuffer(a, np.int64), np.frombuffer(x, np.float32), g) for g, a, x in zip(got["grade"].tolist(), got["at"], got["x"], strict=True)]
-    return fit(rows, bits=bits, **options)
+    # nothing but the fit holds the features, so that it can let go of those that it leaves out
+    rows = [(np.frombuffer(a, np.int32), np.frombuffer(x, np.float32), g) for g, a, x in zip(got["grade"].tolist(), got["at"], got["x"], strict=True)]
+    del got
+    return fit([rows.pop() for _ in range(len(rows))][::-1], bits=bits, **options)
 
 
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
