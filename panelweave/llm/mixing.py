@@ -74,8 +74,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3,
     return _mixed(docs, weights, most, seed, docs.columns).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
-#: Rows of a slice of a source's order, and copies of a range of the queue, that one task adds up.
-SLICE = 100_000
+#: About how many rows of all sources share a slice of the order, and how many copies a range of the queue.
+SLICE, RANGE = 10_000, 100_000
 
 
 def _mixed(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int, keep: list[str]) -> DataFrame:
@@ -100,7 +100,7 @@ def _mixed(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int, keep
     ends = F.array(*[F.struct((F.col("cum") + F.lit(p) * F.col("source_size")).alias("end"), F.lit(p).alias("p")) for p in range(most)])
     begun = F.explode(F.filter(ends, lambda e: e["end"] - F.col("size") < F.col("target"))).alias("e")
     queue = placed.select("id", "key", "size", "order", "doc", "target", begun).select("id", "key", "size", "order", "doc", (F.col("e.end") / F.col("target")).alias("time"), F.col("e.p").alias("p"))
-    taken = _until(queue, budget, max(1, -(-n // SLICE))).groupBy("id").agg(F.count("*").alias("copies"))
+    taken = _until(queue, budget, max(1, -(-n // RANGE))).groupBy("id").agg(F.count("*").alias("copies"))
     counted = narrow.select("id", "key", "doc", "size", "order").join(taken, "id", "left").withColumn("copies", F.coalesce("copies", F.lit(0)))
     counted = _filled(store(counted, "counted"), targets, budget, most)
     return rows.join(counted.select("id", "key", "copies"), ["id", "key"]).join(targets, "key").select("row", "size", "source_size", "target", "copies")

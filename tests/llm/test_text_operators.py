@@ -401,6 +401,7 @@ def test_mix_reaches_targets(spark):
 def test_mix_is_a_fair_queue(spark, monkeypatch):
     """Against a sequential queue over the same shuffled order, with slices and ranges of few rows."""
     monkeypatch.setattr(mixing, "SLICE", 20)
+    monkeypatch.setattr(mixing, "RANGE", 20)
     r = random.Random(8)
     rows = [(i, " ".join(["w"] * r.randint(0, 9)), "en", r.choice(["a"] * 9 + ["b", None, "c"])) for i in range(300)]
     docs = documents(spark, rows)
