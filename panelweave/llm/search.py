@@ -7,7 +7,8 @@ statistics (document count, mean length, frequencies of the queries' terms) come
 
 Queries go over all shards in blocks of bounded size: a block's distinct terms are broadcast, a task
 searches its shards one after the other and keeps each query's k best so far, whose last is the
-threshold. Every list has its maximum per block of documents. A block whose maxima, added up over the
+threshold. A few shards are searched first; a query's k-th best score in them is where its threshold
+begins in every task. Every list has its maximum per block of documents. A block whose maxima, added up over the
 query's lists, stay below the threshold is passed over; in the others the postings of rare terms are
 added up, and with the frequent terms' maxima that gives a closer bound; only a block that reaches the
 threshold still is scored in full. The tests run for all queries and
@@ -31,6 +32,8 @@ from .common import WordHasher, discard, record_batch, slices, store
 from .license import tokens
 
 SHARD, BLOCK = 4096, 64
+#: Queries whose postings are added up at once: what that takes stays in the processor's cache.
+GROUP = 8
 K1, B = 1.2, 0.75
 UNIT = float(1 << 20)
 
@@ -78,7 +81,8 @@ def build_index(docs: DataFrame, shard: int = SHARD, shard_bytes: int = 24 << 20
 
 @dataclass(frozen=True)
 class QueryBlock:
-    """Queries by number: ``terms`` of all, sorted; ``owner[i]`` lists term numbers of query i."""
+    """Queries by number: ``terms`` of all, sorted; ``owner[i]`` lists term numbers of query i. ``least``: scores
+    below it are not among a query's best."""
 
     ids: list
     terms: np.ndarray
@@ -86,6 +90,7 @@ class QueryBlock:
     frequent: np.ndarray
     queries: np.ndarray
     query_terms: np.ndarray
+    least: np.ndarray
 
 
 class Shard:
@@ -125,6 +130,10 @@ class Shard:
         self.start = np.cumsum(self.size) - self.size
         self.q = q
 
+    def _limits(self, first: int, last: int, best: list, k: int) -> np.ndarray:
+        """What a document must score at least to be among the best of queries ``first`` to ``last``."""
+        return np.maximum(self.q.least[first:last], [-b[-1][0] if len(b) >= k else 1.0 for b in best[first:last]])
+
     def search(self, first: int, last: int, best: list, k: int) -> None:
         """Brings ``best[first:last]`` (lists of (-score, id key)) up to date with this shard."""
         q, n, width = self.q, last - first, self.dense.shape[1]
@@ -139,22 +148,27 @@ class Shard:
         entry = np.repeat(self.start[term] + size - np.cumsum(size), size) + np.arange(size.sum())
         owner = np.repeat(owner, size)
         often = wanted @ self.maxima.T
-        limit = np.array([-b[-1][0] if len(b) >= k else 1.0 for b in best[first:last]])
+        limit = self._limits(first, last, best, k)
         alive = np.bincount(owner * self.blocks + self.block[entry], self.most[entry], n * self.blocks).reshape(n, self.blocks) + often >= limit[:, None]
         # of those, rare terms' postings are added up; frequent ones are still bounded by their maxima
         keep = alive[owner, self.block[entry]]
         entry, owner = entry[keep], owner[keep]
-        size = self.count[entry]
-        take = np.repeat(self.first[entry] + size - np.cumsum(size), size) + np.arange(size.sum())
         cells = self.blocks * BLOCK
-        score = np.bincount(np.repeat(owner, size) * cells + self.docs[take], self.weight[take], n * cells).reshape(n, self.blocks, BLOCK)
+        score = np.empty((n, cells))
+        edges = np.searchsorted(owner, np.arange(0, n + GROUP, GROUP))
+        for low, i, j in zip(range(0, n, GROUP), edges, edges[1:], strict=False):
+            some = score[low : low + GROUP]
+            size = self.count[entry[i:j]]
+            take = np.repeat(self.first[entry[i:j]] + size - np.cumsum(size), size) + np.arange(size.sum())
+            some[:] = np.bincount(np.repeat((owner[i:j] - low) * cells, size) + self.docs[take], self.weight[take], some.size).reshape(some.shape)
+        score = score.reshape(n, self.blocks, BLOCK)
         bound = np.where(alive, score.max(2) + often, 0.0)
         # the block with the best bound raises each query's threshold, then all that reach it follow
         done = np.zeros(bound.shape, bool)
         done[np.arange(n), bound.argmax(1)] = True
         for todo in (done & (bound >= limit[:, None]), None):
             if todo is None:
-                limit = np.array([-b[-1][0] if len(b) >= k else 1.0 for b in best[first:last]])
+                limit = self._limits(first, last, best, k)
                 todo = ~done & (bound >= limit[:, None])
             hits: dict[int, list] = {}
             for block in np.flatnonzero(todo.any(0)).tolist():
@@ -202,19 +216,28 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, block_bytes: int =
     wanted = asked.select("block", F.explode("terms").alias("term")).distinct()
     counted = index.select(F.explode(F.arrays_zip("terms", "dfs")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.dfs").alias("df"))
     wanted = store(wanted.join(counted, "term"), "frequencies")
+    # a few shards, the same in each run, each in a task
+    shards = sorted(r[0] for r in index.select(F.xxhash64("lengths", "docs")).collect())
+    first = shards[: math.isqrt(len(shards)) // 2]
+    seeds = store(index.where(F.xxhash64("lengths", "docs").isin(first)).repartition(len(first)), "seeds") if first else None
     found = None
     for block in range(blocks):
         rows = asked.where(F.col("block") == block).select("number", "terms").orderBy("number").toArrow()
         stats = wanted.where(F.col("block") == block).select("term", "df").orderBy("term").toArrow()
-        hits = store(_search_block(spark, index, rows, stats, n, words / max(n, 1), k, frequent), "hits")
+        ask = lambda part, least: _search_block(spark, part, rows, stats, n, words / max(n, 1), k, frequent, least)
+        least = None
+        if seeds is not None:
+            place = F.row_number().over(Window.partitionBy("number").orderBy(F.desc("score")))
+            least = ask(seeds.repartition(len(first)), None).withColumn("place", place).where(F.col("place") == k).select("number", "score").toArrow()
+        hits = store(ask(index, least), "hits")
         found = hits if found is None else found.union(hits)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("number").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))).where(F.col("rank") <= k)
     out = store(ranked.join(asked.select("number", "query_id"), "number").select("query_id", "rank", "doc_id", "score"), "ranked")
-    discard(index, wanted)
+    discard(index, wanted, *([] if seeds is None else [seeds]))
     return out
 
 
-def _search_block(spark, index: DataFrame, rows: pa.Table, stats: pa.Table, n: int, mean: float, k: int, frequent: int) -> DataFrame:
+def _search_block(spark, index: DataFrame, rows: pa.Table, stats: pa.Table, n: int, mean: float, k: int, frequent: int, least: pa.Table | None = None) -> DataFrame:
     terms, df = stats["term"].to_numpy(), stats["df"].to_numpy().astype(np.float64)
     lists = rows["terms"].combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
@@ -232,7 +255,10 @@ def _search_block(spark, index: DataFrame, rows: pa.Table, stats: pa.Table, n: i
     column = np.full(len(terms), -1)
     column[often] = np.arange(len(often))
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    shared = spark.sparkContext.broadcast(QueryBlock(rows["number"].to_pylist(), terms, idf, column, owner, flat))
+    floor = np.ones(len(lists))
+    if least is not None and least.num_rows:
+        floor[np.searchsorted(rows["number"].to_numpy(), least["number"].to_numpy())] = least["score"].to_numpy() * UNIT
+    shared = spark.sparkContext.broadcast(QueryBlock(rows["number"].to_pylist(), terms, idf, column, owner, flat, floor))
 
     def run(batches):
         q = shared.value
